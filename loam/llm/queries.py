@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import sharding, urls
+from loam.llm import bpe, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filters": urls.op6_url_filters,
+        "op7_bpe": bpe.op7_bpe,
     }
 
 
