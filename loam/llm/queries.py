@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, sharding, urls
+from loam.llm import bpe, sharding, tokenfiles, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filters": urls.op6_url_filters,
         "op7_bpe": bpe.op7_bpe,
+        "op9_token_files": tokenfiles.op9_token_files,
     }
 
 
