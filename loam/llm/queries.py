@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, flac, sharding, tokenfiles, urls
+from loam.llm import bpe, flac, sharding, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_flac": flac.op2_flac,
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filters": urls.op6_url_filters,
