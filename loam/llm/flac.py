@@ -464,7 +464,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
     or little-endian 16-bit integers, with the frame's place in the stream, so that a reader can seek to any sample.
     A null stream gives no rows; a damaged one fails the job with FlacError."""
     schema = df.select(key).schema
-    for name, kind in (("block", "int"), ("sample_offset", "long"), ("byte_offset", "long"), ("n_samples", "int"), ("pcm", "binary")):
+    for name, kind in (("block", "integer"), ("sample_offset", "long"), ("byte_offset", "long"), ("n_samples", "integer"), ("pcm", "binary")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,7 +165,7 @@ def score_toxicity(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFra
     """df with toxicity (double) and offending (array of spans: start, end in characters, p) added, columns so named
     replaced. Only the text is an input. Null and empty texts score the leak and have no spans. No shuffle."""
     rest = [c for c in df.columns if c not in ("toxicity", "offending")]
-    span = T.StructType().add("start", "int").add("end", "int").add("p", "double")
+    span = T.StructType().add("start", "integer").add("end", "integer").add("p", "double")
     schema = df.select(*rest).schema.add("toxicity", "double").add("offending", T.ArrayType(span))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     at, model = rest.index(text), df.sparkSession.sparkContext.broadcast((scorer.weights, scorer.b, scorer.leak))
