@@ -8,6 +8,7 @@ FOOTER. A plain zstandard reader sees the ids alone; ours reads the footer, the
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,8 +33,8 @@ ENTRY = np.dtype(
 )
 FOOTER = struct.Struct("<QB4s")  # number of frames, width, magic
 MAGIC = b"LTF1"
-#: Documents a file, text handled at once in a worker (characters), pieces a worker keeps encoded.
-DOCS_A_FILE, TOGETHER, KEPT_PIECES = 20_000, 8_000_000, 500_000
+#: Documents a file, text handled at once in a worker (characters), pieces and runs that a worker keeps encoded.
+DOCS_A_FILE, TOGETHER, KEPT_PIECES, KEPT_RUNS = 20_000, 8_000_000, 400_000, 900_000
 
 
 class TokenFileError(ValueError):
@@ -103,8 +104,16 @@ class TokenFile:
         self.file.close()
 
 
+#: A run of letters, a run of marks, or the one before the other: each run is one pre-token, whose letters only need lower
+#: case. Letters are those below U+0180, where case and composition are the same in every version of Unicode.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]*)([!-&(-/:-@\[-`{-~]*)", re.DOTALL)
+
+
 class Words:
-    """Whole texts encoded by a tokenizers file whose white space separates; pieces that come again are kept encoded."""
+    """Whole texts encoded by a tokenizers file whose white space separates; pieces that come again are kept encoded.
+
+    A text is cut at spaces and newlines, and a piece that is letters and then marks once more between them. New runs are
+    encoded many at a time, as one text, which the ids that end a word cut again."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,19 +122,50 @@ class Words:
         self.model = Tokenizer.from_file(path)
         self.model.no_padding()
         self.model.no_truncation()
-        self.kind, self.kept = f"<u{width}", {"": b""}
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.kind, self.width = f"<u{width}", width
+        self.kept: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def encode_runs(self, runs: list[str]) -> None:
+        ids = np.array(self.model.encode(" ".join(runs), add_special_tokens=False).ids, dtype=np.int64)
+        cuts = (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) == len(runs):
+            raw = ids.astype(self.kind).tobytes()
+            self.runs.update(zip(runs, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        else:
+            self.runs.update(zip(runs, self.whole(runs), strict=True))
+
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        found = self.model.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+
+    def prepare(self, pieces: list[str]) -> None:
+        simple = [m.groups() if (m := SIMPLE.fullmatch(p)) and "<|" not in p else None for p in pieces]
+        simple = [s and (s[0].lower(), s[1]) for s in simple]
+        new = list({r for s in simple if s for r in s}.difference(self.runs))
+        for k in range(0, len(new), 20_000):
+            self.encode_runs(new[k : k + 20_000])
+        odd = [p for p, s in zip(pieces, simple, strict=True) if not s]
+        self.kept.update((p, self.runs[s[0]] + self.runs[s[1]]) for p, s in zip(pieces, simple, strict=True) if s)
+        self.kept.update(zip(odd, self.whole(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for c in cut for p in c}.difference(self.kept))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            found = self.model.encode_batch_fast(some, add_special_tokens=False)
-            self.kept.update(zip(some, [np.array(e.ids, dtype=self.kind).tobytes() for e in found], strict=True))
+        need: set[str] = set()
+        for c in cut:
+            need.update(c)
+        new = list(need.difference(self.kept))
+        for k in range(0, len(new), 50_000):
+            self.prepare(new[k : k + 50_000])
         out = [b"".join(map(self.kept.__getitem__, c)) for c in cut]
-        if len(self.kept) > KEPT_PIECES:
-            short = {k: v for k, v in self.kept.items() if len(k) < 8}
-            self.kept = short if len(short) < KEPT_PIECES // 2 else {"": b""}
+        for store, most in ((self.kept, KEPT_PIECES), (self.runs, KEPT_RUNS)):  # what is short is likely to come again
+            if len(store) > most:
+                short = {k: v for k, v in store.items() if len(k) < 9}
+                store.clear()
+                store.update(short if len(short) < most // 2 else {"": b""})
         return out
 
 
