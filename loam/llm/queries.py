@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, flac, quality, sharding, tokenfiles, toxicity, urls
+from loam.llm import bpe, decontaminate, flac, quality, sharding, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filters": urls.op6_url_filters,
         "op7_bpe": bpe.op7_bpe,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_files": tokenfiles.op9_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.OP6_SQL}
+    return {"op6_url_filters": urls.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
