@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, decontaminate, flac, quality, sharding, tokenfiles, toxicity, urls
+from loam.llm import bpe, decontaminate, flac, lm, quality, sharding, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": bpe.op7_bpe,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_files": tokenfiles.op9_token_files,
+        "op10_lm": lm.op10_lm,
     }
 
 
