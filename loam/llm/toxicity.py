@@ -23,7 +23,7 @@ from loam.llm.common import crc_mod, table
 
 #: The bounded sample of labelled rows that the weights are fitted on: so many of each label, of texts of at most so many
 #: characters (longer labelled texts are left to scoring).
-SAMPLE, LONGEST = 2500, 10_000
+SAMPLE, LONGEST = 1500, 6_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 #: Words that a worker keeps weighed, and characters that it handles at once.
@@ -64,12 +64,22 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def instances(text: str) -> Iterator[set[str]]:
+    """The features of each sentence."""
+    for a, b in sentences(text):
+        if own := {f for c in text[a:b].split() for f in word_features(c)}:
+            yield own
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = 400, rate: float = 0.1, penalty: float = 0.3) -> tuple[dict[str, float], float, float]:
     """Weights of features, b and the leak. Without a document of label 1 nothing has weight."""
-    bags = [[set(f) for f in ([x for c in t[a:b].split() for x in word_features(c)] for a, b in sentences(t)) if f] for t in texts]
     positive, negative = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (positive if y else negative).update(set().union(*bag) if bag else ())
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            positive.update({f for s in instances(t) for f in s})
+    for t, y in zip(texts, labels, strict=True):
+        if not y:
+            negative.update({f for s in instances(t) for f in s if f in positive})
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     least = 3 if n1 < 300 else 5
     names = sorted(f for f, c in positive.items() if c >= least and c / n1 > 4 * negative[f] / n0)
@@ -78,8 +88,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, rate: float =
         return {}, -4.0, leak
     index = {f: i for i, f in enumerate(names)}
     doc, row, col = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, t in enumerate(texts):
+        for s in instances(t):
             if own := [index[f] for f in s if f in index]:
                 row += [len(doc)] * len(own)
                 col += own
@@ -150,14 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
     """Fits on a bounded sample of labelled rows for which `training` (a condition on the key) holds: of each label, the
     SAMPLE rows with the least hashes of the key. Rows without text or label are left out; of several labels of one key
     the largest counts."""
+    spark = docs.sparkSession
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
-    known = (
-        docs.select(key, F.col(text).alias("text"))
-        .where(training & (F.length("text") <= LONGEST))
-        .join(marked, key)
-        .select("text", "y", F.xxhash64(F.col(key)).alias("h"))
+    sizes = docs.where(training & (F.length(text) <= LONGEST)).select(key, F.xxhash64(F.col(key)).alias("h"))
+    known = sizes.join(marked, key).distinct()  # keys and hashes only
+    chosen = [r for y in (1, 0) for r in known.where(F.col("y") == y).orderBy("h", key).limit(SAMPLE).collect()]
+    keys = spark.createDataFrame([(r[key], r["y"]) for r in chosen], docs.select(key).schema.add("y", "integer"))
+    rows = (  # SAMPLE keys of each label at most
+        docs.select(key, F.col(text).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(keys), key).orderBy(key, "text").collect()
     )
-    rows = [r for y in (1, 0) for r in known.where(F.col("y") == y).orderBy("h", "text").limit(SAMPLE).collect()]
     return Scorer(*train([r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64)))
 
 
