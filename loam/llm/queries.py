@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, decontaminate, flac, lm, quality, sharding, tokenfiles, toxicity, urls
+from loam.llm import bpe, decontaminate, flac, lm, quality, setjoin, sharding, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_flac": flac.op2_flac,
+        "op3_ngram_jaccard": setjoin.op3_ngram_jaccard,
         "op4_quality": quality.op4_quality,
         "op5_sharding": sharding.op5_sharding,
         "op6_url_filters": urls.op6_url_filters,
