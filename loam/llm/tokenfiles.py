@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -152,21 +153,29 @@ class Words:
         self.kept.update((p, self.runs[s[0]] + self.runs[s[1]]) for p, s in zip(pieces, simple, strict=True) if s)
         self.kept.update(zip(odd, self.whole(odd), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        need: set[str] = set()
-        for c in cut:
-            need.update(c)
-        new = list(need.difference(self.kept))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array (null: none). Pieces are numbered in Arrow; Python sees distinct ones."""
+        lines = pa.compute.replace_substring(pa.compute.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+        cut = pa.compute.split_pattern(lines, " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [p for p in pieces if p not in self.kept]
         for k in range(0, len(new), 50_000):
             self.prepare(new[k : k + 50_000])
-        out = [b"".join(map(self.kept.__getitem__, c)) for c in cut]
+        own = list(map(self.kept.__getitem__, pieces))
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // self.width
+        ids = np.frombuffer(b"".join(own), self.kind)
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        first = (np.cumsum(sizes) - sizes)[codes]
+        raw = ids[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        at = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * self.width
         for store, most in ((self.kept, KEPT_PIECES), (self.runs, KEPT_RUNS)):  # what is short is likely to come again
             if len(store) > most:
                 short = {k: v for k, v in store.items() if len(k) < 9}
                 store.clear()
                 store.update(short if len(short) < most // 2 else {"": b""})
-        return out
+        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @cache
@@ -195,7 +204,7 @@ def write_token_files(
         model, end = words(vocabulary, width), end_id.to_bytes(width, "little")
         for batch in batches:
             for part in parts(batch, 1, TOGETHER):
-                ids = [x + end for x in model.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [x + end for x in model.encode(part.column(1))]
                 file = [0 if k is None else bisect_right(bounds, k) for k in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(file, pa.int32()), pa.array(ids, pa.binary())], ["key", "file", "ids"]
