@@ -57,7 +57,7 @@ def item_windows(items: DataFrame, item: str, text: str, size: int) -> DataFrame
 def contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW
 ) -> DataFrame:
-    """(key, n_words, n_hit, items, spans) of every row of docs: its words, how many of them lie in an occurrence of a
+    """(key, text_hash, n_words, n_hit, items, spans) of every row of docs: its words, how many of them lie in an occurrence of a
     window, the sorted ids (as strings) of the items with occurring windows, and the occurrences as (start, length) in
     words.
 
@@ -71,7 +71,7 @@ def contamination(
     sizes = sorted(r[0] for r in distinct.select(F.least("length", F.lit(SHINGLE))).distinct().collect())  # 1 to 5
     row = F.xxhash64(F.col(key), F.col(text)).alias("row")
     tokens = docs.select(row, words(F.col(text)).alias("w"))
-    counts = docs.select(F.col(key), row, F.size(words(F.col(text))).cast("long").alias("n_words"))
+    counts = docs.select(F.col(key), row, F.xxhash64(text).alias("text_hash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     found = None
     if sizes:
         cut = [
@@ -90,11 +90,12 @@ def contamination(
         found = occurrences(docs.select(row, F.col(text).alias("text")), written(seen, "shingles-seen"), shingles, distinct, windows)
     if found is None:
         return counts.select(
-            key, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
+            key, "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
             F.array().cast("array<struct<start:int,length:int>>").alias("spans"),
         )
     return counts.join(found, "row", "left").select(
         key,
+        "text_hash",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

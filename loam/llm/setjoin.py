@@ -192,7 +192,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of docs.
+    """(key, n_shingles, component_id, component, text_hash) for every row of docs; component is a number that the rows of
+    a component share, null without a set.
 
     A document's set is that of its n-grams of `size` words; with fewer words, but not none, its whole sequence is the
     one member. Two documents link when their sets' Jaccard similarity is `percent` or more; component_id is the least
@@ -251,12 +252,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rooted = classes.join(tree.select(F.col("v").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     rooted = written(rooted, "classes")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(named, "root").select("s", "component_id")
-    return rows.select(key, F.col("n").alias("n_shingles"), "s").join(of_class, "s", "left").select(
-        key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")
+    of_class = rooted.join(named, "root").select("s", "root", "component_id")
+    return rows.select(key, F.col("n").alias("n_shingles"), "t", "s").join(of_class, "s", "left").select(
+        key,
+        "n_shingles",
+        F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("root").alias("component"),
+        F.col("t").alias("text_hash"),
     )
 
 
+def extra_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text_hash) of near_duplicates's rows that are not the one of their component that stays: the least key (null
+    last), then the least hash of the text. Rows without a set all stay."""
+    own = found.where("component IS NOT NULL").withColumn("place", F.struct(F.col(key).isNull(), F.col(key), F.col("text_hash")))
+    least = own.groupBy("component").agg(F.min("place").alias("least"))
+    return own.join(least, "component").where("place != least").select(key, "text_hash")
+
+
 def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
     """verified, with a text for each set of the pairs fetched: that of the row whose prefix was given."""
     wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
@@ -269,4 +282,4 @@ def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
