@@ -27,9 +27,9 @@ from loam.llm.common import crc_mod, table, written
 from loam.llm.ngrams import mix, pieces, text_bytes, word_hashes
 
 #: Bytes of text in a block (a single longer document is a block of its own).
-BLOCK = 24_000_000
+BLOCK = 10_000_000
 #: Bytes of packed hashes that one count reducer aims at.
-REDUCER = 24_000_000
+REDUCER = 16_000_000
 #: What stands for a document's beginning and end among word hashes.
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Context-frequency buckets (powers of two), cells of the events' likelihood ratio (eighths of a power of two), EM steps.
