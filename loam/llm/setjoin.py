@@ -33,6 +33,8 @@ COMMON, COMMON_LEAST, COMMON_CHUNK = 100_000, 4, 4_000_000
 STAR = 16
 #: Fragments of the order: FRAGMENTS - 1 equal ranges of hashes, and the common n-grams.
 FRAGMENTS = 8
+#: How much half hashes may count too much before it would matter (see verified).
+MARGIN = 3
 
 
 def sets(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,8 @@ class Order:
 
 
 def list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(values))
+    return lists.cast(pa.list_(lists.type.value_type))
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
@@ -131,8 +134,9 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, orde
     return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
-def segments(docs: DataFrame, key: str, text: str, size: int, order) -> DataFrame:
-    """(s, fragment, grams): the sets of documents cut at the fragments of the order."""
+def segments(docs: DataFrame, key: str, text: str, size: int, order, whole: bool) -> DataFrame:
+    """(s, fragment, grams): the sets of documents cut at the fragments of the order; n-grams as whole hashes, or as their
+    lower halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Order(order.value)
@@ -146,28 +150,42 @@ def segments(docs: DataFrame, key: str, text: str, size: int, order) -> DataFram
                 cells, counts = np.unique(cell, return_counts=True)
                 s = part.column(0).to_numpy(zero_copy_only=False)[cells // FRAGMENTS]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s), pa.array((cells % FRAGMENTS).astype(np.int32)), list_array(h.view(np.int64), counts)], ["s", "fragment", "grams"]
+                    [pa.array(s), pa.array((cells % FRAGMENTS).astype(np.int32)), list_array(h.view(np.int64) if whole else h.astype(np.uint32).view(np.int32), counts)],
+                    ["s", "fragment", "grams"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, "s long, fragment int, grams array<long>")
+    return docs.select(key, text).mapInArrow(run, f"s long, fragment int, grams array<{'long' if whole else 'int'}>")
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, order, size: int, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb) whose sets reach the similarity. bodies: (s, text), a text for each set.
+def overlaps(pairs: DataFrame, bodies: DataFrame, order, size: int, whole: bool) -> DataFrame:
+    """The pairs (a, na, b, nb) with the overlap of their sets. bodies: (s, text), a text for each set.
 
     Each side's segments meet pair by pair and fragment by fragment; a fragment's partial overlap is counted there, and
     only counts are summed per pair."""
-    cut = written(segments(bodies, "s", "text", size, order), "segments")
-    if cut.count() > (once := cut.select("s", "fragment").distinct().count()):  # repeated rows
-        cut = written(cut.dropDuplicates(["s", "fragment"]), f"segments-{once}")
+    cut = written(segments(bodies, "s", "text", size, order, whole), "segments")
+    if cut.count() > cut.select("s", "fragment").distinct().count():  # repeated rows
+        cut = written(cut.dropDuplicates(["s", "fragment"]), "segments-once")
     right = cut.select(F.col("s").alias("b"), "fragment", F.col("grams").alias("gb"))
     left = cut.select(F.col("s").alias("a"), "fragment", F.col("grams").alias("ga")).join(
         small(written(pairs.select("a").distinct(), "left-sets")), "a", "left_semi"
     )
     met = pairs.join(right, "b").join(left, ["a", "fragment"])
     partial = met.select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
-    summed = partial.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap"))
-    return written(summed.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
+    return written(partial.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap")), "overlaps")
+
+
+def verified(pairs: DataFrame, fetch, order, size: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose sets reach the similarity; fetch gives the texts of pairs' sets.
+
+    Segments first travel as half hashes, whose overlaps can only be too large, and by MARGIN at most (35 bits with the
+    fragment tell n-grams of two sets apart). Pairs that reach the similarity by no more than MARGIN are counted again
+    with whole hashes."""
+    reach = lambda o: F.expr(f"100 * ({o}) >= {percent} * (na + nb - ({o}))")
+    rough = overlaps(pairs, fetch(pairs), order, size, whole=False).where(reach("overlap"))
+    sure = rough.where(reach(f"overlap - {MARGIN}")).select("a", "b")
+    doubtful = written(rough.where(~reach(f"overlap - {MARGIN}")).select("a", "na", "b", "nb"), "doubtful-pairs")
+    exact = overlaps(doubtful, fetch(doubtful), order, size, whole=True).where(reach("overlap")).select("a", "b")
+    return sure.unionByName(exact)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,14 +289,17 @@ def extra_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
-    """verified, with a text for each set of the pairs fetched: that of the row whose prefix was given."""
-    wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    # a row for each set, found on narrow columns
-    holders = rows.join(wanted, "s", "left_semi").groupBy("s").agg(F.min(F.struct(key, "t")).alias("own"))
-    holders = small(written(holders.select("s", F.col(f"own.{key}").alias("k"), "own.t"), "holders"))
-    own = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"), F.xxhash64(text).alias("_t"))
-    bodies = own.join(holders, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_t") == F.col("t"))).select("s", "text")
-    return verified(pairs, bodies, order, size, percent)
+    """verified, with a text for each set of the pairs fetched."""
+
+    def fetch(some: DataFrame) -> DataFrame:
+        wanted = some.select(F.col("a").alias("s")).unionByName(some.select(F.col("b").alias("s"))).distinct()
+        # a row for each set, found on narrow columns
+        holders = rows.join(wanted, "s", "left_semi").groupBy("s").agg(F.min(F.struct(key, "t")).alias("own"))
+        holders = small(written(holders.select("s", F.col(f"own.{key}").alias("k"), "own.t"), "holders"))
+        own = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"), F.xxhash64(text).alias("_t"))
+        return own.join(holders, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_t") == F.col("t"))).select("s", "text")
+
+    return written(verified(pairs, fetch, order, size, percent), "links")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
