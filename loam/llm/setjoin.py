@@ -33,6 +33,8 @@ COMMON, COMMON_LEAST, COMMON_CHUNK = 100_000, 4, 4_000_000
 STAR = 16
 #: Fragments of the order: FRAGMENTS - 1 equal ranges of hashes, and the common n-grams.
 FRAGMENTS = 8
+#: Bits of the map that drops n-grams of one set only (16 MB); with more than some ten million others it drops fewer.
+MAP_BITS = 1 << 27
 #: How much half hashes may count too much before it would matter (see verified).
 MARGIN = 3
 
@@ -209,6 +211,36 @@ def components(links: DataFrame) -> DataFrame:
     return rooted.unionByName(edges.select("v", F.col("v").alias("root")).distinct())
 
 
+def shared_entries(rows: DataFrame) -> DataFrame:
+    """(token, s, n, pos) of the prefixes' n-grams that more than one of the given prefixes has.
+
+    Most n-grams are of one set only. Those of several are counted first, and their bits in a map of a fixed size drop
+    nearly all others where they lie; an exact join drops the rest."""
+    given = rows.where("prefix IS NOT NULL").select("s", "n", "prefix")
+    shared = written(given.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
+    place = F.expr(f"token & {MAP_BITS - 1}")
+    words = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits"))
+    held = words.toPandas()  # MAP_BITS / 64 rows at most
+    bits = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    bits[held["word"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    known = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            at = tokens.view(np.uint64) & np.uint64(MAP_BITS - 1)
+            keep = np.flatnonzero(known.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+            ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            row = np.searchsorted(ends, keep, side="right")
+            first = np.concatenate([[0], ends])[row]
+            columns = [tokens[keep], *(batch.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1)), (keep - first).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "s", "n", "pos"])
+
+    found = given.mapInArrow(run, "token long, s long, n long, pos int")
+    return written(found.join(shared, "token").distinct(), "shared-entries")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, component, text_hash) for every row of docs; component is a number that the rows of
     a component share, null without a set.
@@ -222,9 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(common_ngrams(docs, text, size))
     rows = written(prefixes(docs, key, text, size, percent, order), "prefixes")
-    first = rows.where("prefix IS NOT NULL").select("s", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = first.groupBy("token").count().where("count > 1").select("token")
-    entries = written(first.join(shared, "token").distinct(), "shared-entries")
+    entries = shared_entries(rows)
 
     similar = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
     counts = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min("s").alias("a"))
