@@ -33,8 +33,8 @@ COMMON, COMMON_LEAST, COMMON_CHUNK = 100_000, 4, 4_000_000
 STAR = 16
 #: Fragments of the order: FRAGMENTS - 1 equal ranges of hashes, and the common n-grams.
 FRAGMENTS = 8
-#: Bits of the map that drops n-grams of one set only (16 MB); with more than some ten million others it drops fewer.
-MAP_BITS = 1 << 27
+#: Bits of the map that drops n-grams of one set only (8 MB); with more than some ten million others it drops fewer.
+MAP_BITS = 1 << 26
 #: How much half hashes may count too much before it would matter (see verified).
 MARGIN = 3
 
@@ -220,9 +220,9 @@ def shared_entries(rows: DataFrame) -> DataFrame:
     shared = written(given.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
     place = F.expr(f"token & {MAP_BITS - 1}")
     words = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits"))
-    held = words.toPandas()  # MAP_BITS / 64 rows at most
+    held = words.select(F.col("word").cast("long"), "bits").toArrow()  # MAP_BITS / 64 rows at most
     bits = np.zeros(MAP_BITS // 64, dtype=np.uint64)
-    bits[held["word"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    bits[held["word"].to_numpy()] = held["bits"].to_numpy().view(np.uint64)
     known = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
