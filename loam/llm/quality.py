@@ -112,7 +112,7 @@ def log_importance(df: DataFrame, ratios: np.ndarray, text: str = "text") -> Dat
         for batch in batches:
             for part in pieces(batch, at):
                 where, rows = buckets(part, at)
-                sums = np.bincount(rows, model.value[where], minlength=part.num_rows)
+                sums = np.bincount(rows, model.value[where], minlength=part.num_rows).astype(np.float64)  # no n-grams give integers
                 sizes = np.bincount(rows, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums), pa.array(sizes)], [*rest, "log_weight", "n_grams"])
 

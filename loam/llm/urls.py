@@ -53,9 +53,9 @@ def build_filter(rules: DataFrame, count: int) -> np.ndarray:
             yield pd.DataFrame({"at": at.astype(np.int64), "word": words.ravel().astype(np.int64)})
 
     found = rules.select(F.xxhash64("key").alias("h")).mapInPandas(bits, "at long, word long")
-    words = found.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    words = found.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(blocks * 8, dtype=np.uint32)
-    out[words["at"].to_numpy(dtype=np.int64)] = words["word"].to_numpy(dtype=np.int64).astype(np.uint32)
+    out[words["at"].to_numpy()] = words["word"].to_numpy().astype(np.uint32)
     return out.reshape(blocks, 8)
 
 
