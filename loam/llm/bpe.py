@@ -24,7 +24,8 @@ SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]
 #: In a text without these, and with no white space at its ends, each space or newline is alone between other characters.
 ODD = ("  ", " \n", "\n ", "\n\n", "\0", *sorted(SPACES - {" ", "\n"}))
 #: Pieces that a Python worker keeps encoded; the store is emptied when full, so memory stays bounded.
-KEPT_PIECES = 600_000
+#: Of these, a worker keeps the shortest from task to task.
+KEPT_PIECES, KEPT_SHORT = 500_000, 150_000
 #: Pre-tokens of more bytes are encoded one by one, each in a tree of its own; rows of at most this many bytes together.
 WIDE, TOGETHER = 64, 4_000_000
 NONE = np.int64(1) << 40
@@ -213,14 +214,14 @@ class BytePairs:
         for k in range(0, len(todo), 50_000):
             self._prepare_part(todo[k : k + 50_000])
         out = [b"".join(map(kept.__getitem__, steps)) for steps in plan]
-        for store in (kept, self.words):  # what is short is likely to come again
-            if len(store) > KEPT_PIECES:
-                short = {k: v for k, v in store.items() if len(k) < 9}
-                store.clear()
-                if len(short) < KEPT_PIECES // 2:
-                    store.update(short)
+        if len(kept) > KEPT_PIECES or len(self.words) > KEPT_PIECES:
+            self.trim()
         return out
 
+    def trim(self) -> None:
+        """Forgets encoded pieces but for short ones, which are likely to come again."""
+        self.pieces, self.words = shortest(self.pieces), shortest(self.words)
+
     def _prepare_part(self, pieces: list[str]) -> None:
         cut = [PATTERN.findall(p) for p in pieces]
         self.encode_words(list({w for c in cut for w in c}.difference(self.words)))
@@ -240,6 +241,12 @@ class BytePairs:
         return raw.decode("utf-8", errors="replace").encode()
 
 
+def shortest(store: dict, length: int = 9) -> dict:
+    """The entries of a store whose keys are shorter than that, or fewer if they are many."""
+    kept = {k: v for k, v in store.items() if len(k) < length}
+    return kept if len(kept) <= KEPT_SHORT or length < 3 else shortest(kept, length - 1)
+
+
 @cache
 def byte_pairs(path: str) -> BytePairs:
     return BytePairs(path)
@@ -264,6 +271,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFra
                 ids = model.encode_texts([t or "" for t in part.column(at).to_pylist()])
                 decoded = pa.array([model.decode(x) for x in ids], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), decoded], [*rest, "ids", "decoded"])
+        model.trim()
 
     return df.select(*rest).mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once (or one text): bounds the temporary arrays.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 _random = np.random.Generator(np.random.PCG64(20240229))
 _letters = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _letters[65:91] = _letters[97:123]

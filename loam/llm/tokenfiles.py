@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.bpe import parts
+from loam.llm.bpe import parts, shortest
 from loam.llm.common import fresh_path, table, written
 
 SKIPPABLE = 0x184D2A5E  # zstandard's first magic number for skippable frames (fixed value)
@@ -153,6 +153,9 @@ class Words:
         self.kept.update((p, self.runs[s[0]] + self.runs[s[1]]) for p, s in zip(pieces, simple, strict=True) if s)
         self.kept.update(zip(odd, self.whole(odd), strict=True))
 
+    def trim(self) -> None:
+        self.kept, self.runs = {"": b"", **shortest(self.kept)}, {"": b"", **shortest(self.runs)}
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a string array (null: none). Pieces are numbered in Arrow; Python sees distinct ones."""
         lines = pa.compute.replace_substring(pa.compute.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
@@ -170,11 +173,8 @@ class Words:
         first = (np.cumsum(sizes) - sizes)[codes]
         raw = ids[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
         at = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * self.width
-        for store, most in ((self.kept, KEPT_PIECES), (self.runs, KEPT_RUNS)):  # what is short is likely to come again
-            if len(store) > most:
-                short = {k: v for k, v in store.items() if len(k) < 9}
-                store.clear()
-                store.update(short if len(short) < most // 2 else {"": b""})
+        if len(self.kept) > KEPT_PIECES or len(self.runs) > KEPT_RUNS:
+            self.trim()
         return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
@@ -209,6 +209,7 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(file, pa.int32()), pa.array(ids, pa.binary())], ["key", "file", "ids"]
                 )
+        model.trim()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple[int, int | None, bytes]]:
