@@ -6,11 +6,12 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def rows(frame) -> Counter:
     columns = sorted(frame.columns)
-    clean = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+    clean = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
     return Counter(tuple(clean(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
 
 
