@@ -398,6 +398,8 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     for k, (s, info) in enumerate(zip(streams, infos, strict=True)):
         if info.total and (not info.points or sum(p[2] for p in info.points) != info.total):
             raise FlacError("no seek point for every frame")
+        if [p[0] for p in info.points] != (np.cumsum([0, *(p[2] for p in info.points)])[:-1]).tolist():
+            raise FlacError("seek points do not follow each other")
         own = [base + info.frames + p[1] for p in info.points]
         starts += own
         ends += [*own[1:], base + len(s)][: len(own)]

@@ -96,7 +96,7 @@ def test_toxicity_held_out(spark, sf):
 
 
 def test_toxicity_locates_sentences():
-    texts = [f"Fine words here number {i}. You are scum today. More fine words." for i in range(20)] + [f"Fine words here number {i}. More." for i in range(20)]
+    texts = [f"Fine words here number {i}. You are scum today. More fine words." for i in range(20)] + [f"Fine words here number {i}. You are well today." for i in range(20)]
     scorer = toxicity.Scorer(*toxicity.train(texts, np.array([1] * 20 + [0] * 20)))
     text = "Good day.\nWhat scum it is! Bye."
     score, spans = scorer.score(text)
