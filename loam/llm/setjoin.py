@@ -28,7 +28,7 @@ from loam.llm.ngrams import mix, pieces, shingles, text_bytes, word_hashes
 SHINGLE, PERCENT = 5, 80
 #: Common n-grams that come last in the order: at most so many, each with so many occurrences in some COMMON_CHUNK of them.
 #: They decide the order only, never the result.
-COMMON, COMMON_LEAST, COMMON_CHUNK = 100_000, 4, 4_000_000
+COMMON, COMMON_LEAST, COMMON_CHUNK = 200_000, 3, 4_000_000
 #: Sets that share a prefix n-gram, beyond which the star comes first.
 STAR = 16
 #: Fragments of the order: FRAGMENTS - 1 equal ranges of hashes, and the common n-grams.
@@ -72,8 +72,8 @@ def common_ngrams(docs: DataFrame, text: str, size: int) -> np.ndarray:
             yield counted()
 
     found = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()
-    return np.array([r[0] for r in rows][::-1], dtype=np.int64).view(np.uint64)
+    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return rows.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 class Order:
@@ -107,9 +107,10 @@ def list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
-    """(key, t, n, s, prefix): a hash of the text, set size, set hash, and the set's first n-grams; a task gives the prefix of a set only once,
+    """(key, t, n, rare, s, prefix): a hash of the text, set size, how many of the set are not common n-grams, set hash, and
+    the set's first n-grams; a task gives the prefix of a set only once,
     null otherwise. Empty sets have n = 0 and a null s."""
-    schema = docs.select(key).schema.add("t", "long").add("n", "long").add("s", "long").add("prefix", T.ArrayType(T.LongType()))
+    schema = docs.select(key).schema.add("t", "long").add("n", "long").add("rare", "long").add("s", "long").add("prefix", T.ArrayType(T.LongType()))
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,9 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, orde
         for batch in batches:
             for part in pieces(batch, 1):
                 h, rows = sets(part, 1, size)
-                h, _, ends, n = own.ordered_sets(h, rows, part.num_rows)
+                h, rank, ends, n = own.ordered_sets(h, rows, part.num_rows)
+                counted = np.concatenate([[0], np.cumsum(rank == 0)])
+                rare = counted[ends] - counted[ends - n]
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
                 s = mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
                 first = np.zeros(len(n), dtype=bool)
@@ -131,7 +134,7 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, orde
                 at = np.arange(int(p.sum())) + np.repeat(ends - n - (np.cumsum(p) - p), p)
                 lists = list_array(h[at].view(np.int64), p)
                 lists = pa.compute.if_else(pa.array(first), lists, pa.scalar(None, lists.type))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(s, mask=n == 0), lists], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(rare), pa.array(s, mask=n == 0), lists], names)
 
     return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, schema)
 
@@ -212,11 +215,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def shared_entries(rows: DataFrame) -> DataFrame:
-    """(token, s, n, pos) of the prefixes' n-grams that more than one of the given prefixes has.
+    """(token, s, n, rare, pos) of the prefixes' n-grams that more than one of the given prefixes has.
 
     Most n-grams are of one set only. Those of several are counted first, and their bits in a map of a fixed size drop
     nearly all others where they lie; an exact join drops the rest."""
-    given = rows.where("prefix IS NOT NULL").select("s", "n", "prefix")
+    given = rows.where("prefix IS NOT NULL").select("s", "n", "rare", "prefix")
     shared = written(given.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
     place = F.expr(f"token & {MAP_BITS - 1}")
     words = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits"))
@@ -227,17 +230,17 @@ def shared_entries(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             at = tokens.view(np.uint64) & np.uint64(MAP_BITS - 1)
             keep = np.flatnonzero(known.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
             ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
             row = np.searchsorted(ends, keep, side="right")
             first = np.concatenate([[0], ends])[row]
-            columns = [tokens[keep], *(batch.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1)), (keep - first).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "s", "n", "pos"])
+            columns = [tokens[keep], *(batch.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1, 2)), (keep - first).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "s", "n", "rare", "pos"])
 
-    found = given.mapInArrow(run, "token long, s long, n long, pos int")
+    found = given.mapInArrow(run, "token long, s long, n long, rare long, pos int")
     return written(found.join(shared, "token").distinct(), "shared-entries")
 
 
@@ -257,50 +260,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     entries = shared_entries(rows)
 
     similar = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
-    counts = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min("s").alias("a"))
-    hubs = counts.where(f"sets > {STAR}").select("token", "a")
-    hubs = hubs.join(entries.select("token", F.col("s").alias("a"), F.col("n").alias("na")), ["token", "a"])
-    stars = (
-        entries.select("token", F.col("s").alias("b"), F.col("n").alias("nb"))
-        .join(hubs, "token")
-        .where("a != b")
-        .where(similar)
-        .select("a", "na", "b", "nb")
-        .distinct()
-    )
-    stars = written(stars, "star-pairs")
+    # Two sets' common n-grams overlap by the smaller number of them at most; the star's centre is the set with the fewest others.
+    reach = lambda o: f"({100 + percent}) * ({o}) >= {percent} * (na + nb)"
+    commons = "least(na - ra, nb - rb)"
+    named = (("s", ""), ("n", "n"), ("rare", "r"), ("pos", "p"))
+    side = lambda df, x, *more: df.select("token", *[F.col(c).alias(short + x) for c, short in named], *more)
+    counts = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("rare", "s", "n")).alias("hub"))
+    hubs = counts.where(f"sets > {STAR}").select("token", F.col("hub.s").alias("a"), F.col("hub.n").alias("na"), F.col("hub.rare").alias("ra"))
+    stars = side(entries, "b").join(hubs, "token").where("a != b").where(similar).where(reach(f"{commons} + least(ra, rb)"))
+    stars = written(stars.select("a", "na", "b", "nb").distinct(), "star-pairs")
     links = [checked(stars, docs, rows, key, text, size, percent, order)]
     tree = components(links[0])
     entries = written(
         entries.join(small(tree.select(F.col("v").alias("s"), "root")), "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted-entries"
     )
-    # Pairs of different components: on each n-gram, sets outside its largest component with all others.
+    # Pairs of different components: on each n-gram, sets outside its largest component with all others. On a common n-gram
+    # only those that common n-grams alone may bring to the similarity: others need one of the others in common, all of
+    # which, where a set has no more than its prefix, are in its prefix.
     groups = entries.groupBy("token", "root").agg(F.count("*").alias("sets"))
     main = groups.groupBy("token").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     mixed = entries.join(main.select("token", F.col("most.root").alias("main")), "token").withColumn("inner", F.col("root") == F.col("main"))
     mixed = written(mixed, "mixed-entries")
-    one = mixed.where("NOT inner").select("token", *[F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "root")])
-    two = mixed.select("token", "inner", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "pos", "root")])
-    met = one.join(two, "token").where(
-        f"root1 != root2 AND (inner OR s1 < s2) AND least(n1, n2) * 100 >= {percent} * greatest(n1, n2)"
-    )
-    swap = F.col("s1") < F.col("s2")
-    pick = lambda c: (F.when(swap, F.col(f"{c}1")).otherwise(F.col(f"{c}2")), F.when(swap, F.col(f"{c}2")).otherwise(F.col(f"{c}1")))
-    (a, b), (na, nb), (pa_, pb) = pick("s"), pick("n"), pick("pos")
-    met = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"), pa_.alias("pa"), pb.alias("pb"))
-    per_pair = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    # up to the last common n-gram a has pa + 1 members and b has pb + 1, c of them common; similar sets differ in at most
+    one = side(mixed.where("NOT inner"), "a", F.col("root").alias("roota"))
+    two = side(mixed, "b", F.col("root").alias("rootb"), "inner")
+    met = one.join(two, "token").where(f"roota != rootb AND (inner OR a < b) AND {similar} AND (pa < ra OR {reach(commons)})")
+    swap = F.col("a") < F.col("b")
+    pick = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
+    pairs = [pick(f"{c}a", f"{c}b", f"{c}a") for c in ("", "n", "r", "p")] + [pick(f"{c}b", f"{c}a", f"{c}b") for c in ("", "n", "r", "p")]
+    sums = [F.count("*").alias("c"), F.sum(F.expr("cast(pa < ra AS int)")).alias("c0"), F.max("pa").alias("pa"), F.max("pb").alias("pb")]
+    per_pair = met.select(*pairs).groupBy("a", "na", "ra", "b", "nb", "rb").agg(*sums)
+    # up to the last shared n-gram a has pa + 1 members and b has pb + 1, c of them shared; similar sets differ in at most
     # (100 - percent) / (100 + percent) of their sizes' sum
     near = f"(pa + pb + 2 - 2 * c) * {100 + percent} <= {100 - percent} * (na + nb)"
-    crossed = written(per_pair.where(near).select("a", "na", "b", "nb"), "cross-pairs")
+    length = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+    whole = f"ra <= {length('na')} AND rb <= {length('nb')}"  # c0 counts all that are shared beside the common ones
+    crossed = per_pair.where(near).where(f"NOT ({whole}) OR {reach(f'{commons} + c0')}")
+    crossed = written(crossed.select("a", "na", "b", "nb"), "cross-pairs")
     links.append(checked(crossed, docs, rows, key, text, size, percent, order))
     tree = components(links[0].unionByName(links[1]))
 
     classes = rows.where("s IS NOT NULL").groupBy("s").agg(F.min(key).alias("least"))
     rooted = classes.join(tree.select(F.col("v").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     rooted = written(rooted, "classes")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(named, "root").select("s", "root", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = rooted.join(least, "root").select("s", "root", "component_id")
     return rows.select(key, F.col("n").alias("n_shingles"), "t", "s").join(of_class, "s", "left").select(
         key,
         "n_shingles",
