@@ -1,6 +1,7 @@
 """The inverted index on disk: immutable segments of postings, and a manifest that says which are live.
 
-A segment is a Parquet folder of (term, doc_id), sorted by term so that row groups can be skipped. The manifest is a
+A segment is a Parquet folder of (term, doc_id), sorted by term so that row groups can be skipped, and one of its terms
+with their document frequency, so that expansion never reads postings. The manifest is a
 numbered JSON file, written aside and renamed; a reader pins the version it opened and is never blocked, a writer that
 lost a race fails. Deletions are a small Parquet folder for each segment, applied as an anti-join until a purge or merge.
 """
@@ -91,7 +92,7 @@ class Index:
         rows = json.loads(store.read(f"manifest-{versions[-1]:08d}.json"))
         found = Index(spark, root, versions[-1], tuple(Segment(**{**r, "deletes": tuple(r["deletes"])}) for r in rows))
         for s in found.segments:
-            for name in (s.name, *s.deletes):
+            for name in (s.name, f"{s.name}-terms", *s.deletes):
                 if not store.exists(name):
                     raise CorruptIndex(f"{root}: {name} is missing")
         return found
@@ -106,13 +107,19 @@ class Index:
     def _write(self, postings: DataFrame, level: int, batch: int = -1) -> tuple[Segment, ...]:
         """A new segment of postings, none if there are no rows."""
         name = f"segment-{uuid.uuid4().hex}"
-        out = f"{self.store.root}/{name}"
+        out, stage = f"{self.store.root}/{name}", f"_{uuid.uuid4().hex}"
+        # written unsorted first: finding the ranges would otherwise tokenise everything once more
+        postings.write.parquet(f"{self.store.root}/{stage}")
+        rows = self.spark.read.parquet(f"{self.store.root}/{stage}")
         # ranges of terms with rows in proportion: a term of a third of all rows is dealt over several files
-        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(out)
-        low, high = self.spark.read.parquet(out).agg(F.min("doc_id"), F.max("doc_id")).first()
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(out)
+        self.store.delete(stage)
+        rows = self.spark.read.parquet(out)
+        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         if low is None:
             self.store.delete(name)
             return ()
+        rows.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{out}-terms")
         return (Segment(name, level, low, high, (), batch),)
 
     def add(self, lines: DataFrame, batch: int = -1) -> Index:
@@ -146,7 +153,10 @@ class Index:
 
     def vocabulary(self) -> DataFrame:
         """(term, df) with deleted documents still counted, as the term table has it."""
-        return self.postings(live=False).groupBy("term").agg(F.count("*").alias("df"))
+        if not self.segments:
+            return self.spark.createDataFrame([], "term string, df long")
+        rows = self.spark.read.parquet(*[f"{self.store.root}/{s.name}-terms" for s in self.segments])
+        return rows if len(self.segments) == 1 else rows.groupBy("term").agg(F.sum("df").alias("df"))
 
     def delete(self, ids: DataFrame) -> tuple[Index, DataFrame]:
         """Marks ids (id) as deleted in the segments whose range holds them; the next version, and (id, deleted): whether
@@ -194,7 +204,7 @@ class Index:
 
     def vacuum(self) -> list[str]:
         """Removes files that this version does not name (readers of older versions must be gone)."""
-        named = {n for s in self.segments for n in (s.name, *s.deletes)} | {f"manifest-{self.version:08d}.json"}
+        named = {n for s in self.segments for n in (s.name, f"{s.name}-terms", *s.deletes)} | {f"manifest-{self.version:08d}.json"}
         gone = [n for n in self.store.names() if n not in named and n.startswith(("segment-", "deletes-", "manifest-", "_"))]
         for n in gone:
             self.store.delete(n)
