@@ -209,7 +209,6 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(file, pa.int32()), pa.array(ids, pa.binary())], ["key", "file", "ids"]
                 )
-        model.trim()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple[int, int | None, bytes]]:
