@@ -34,6 +34,8 @@ ENTRY = np.dtype(
 )
 FOOTER = struct.Struct("<QB4s")  # number of frames, width, magic
 MAGIC = b"LTF1"
+#: Files at most (more documents then go in each), whose bounds every task holds.
+MOST_FILES = 10_000
 #: Documents a file, text handled at once in a worker (characters), pieces and runs that a worker keeps encoded.
 DOCS_A_FILE, TOGETHER, KEPT_PIECES, KEPT_RUNS = 20_000, 8_000_000, 400_000, 900_000
 
@@ -194,7 +196,7 @@ def write_token_files(
     folder is a URI that every executor reaches. Other columns are not read.
     """
     rows = df.count()
-    files = max(1, -(-rows // DOCS_A_FILE))
+    files = max(1, min(MOST_FILES, -(-rows // DOCS_A_FILE)))
     shares = [k / files for k in range(1, files)]
     bounds = (df.select(F.percentile_approx(key, shares, 20 * files)).first()[0] or []) if shares else []
     bounds = sorted(set(bounds))
