@@ -219,7 +219,10 @@ def shared_entries(rows: DataFrame) -> DataFrame:
 
     Most n-grams are of one set only. Those of several are counted first, and their bits in a map of a fixed size drop
     nearly all others where they lie; an exact join drops the rest."""
-    given = rows.where("prefix IS NOT NULL").select("s", "n", "rare", "prefix")
+    given = rows.where("prefix IS NOT NULL").select("s", "n", "rare", "prefix", "uid")
+    firsts = given.groupBy("s").agg(F.min("uid").alias("first"), F.count("*").alias("times")).where("times > 1").select("s", "first")
+    again = written(given.select("s", "uid").join(firsts, "s").where("uid != first").select("uid"), "given-again")
+    given = given.join(small(again), "uid", "left_anti").select("s", "n", "rare", "prefix")
     shared = written(given.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
     place = F.expr(f"token & {MAP_BITS - 1}")
     words = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits"))
@@ -241,7 +244,7 @@ def shared_entries(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "s", "n", "rare", "pos"])
 
     found = given.mapInArrow(run, "token long, s long, n long, rare long, pos int")
-    return written(found.join(shared, "token").distinct(), "shared-entries")
+    return written(found.join(shared, "token"), "shared-entries")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -256,7 +259,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(common_ngrams(docs, text, size))
-    rows = written(prefixes(docs, key, text, size, percent, order), "prefixes")
+    rows = prefixes(docs, key, text, size, percent, order).withColumn("uid", F.monotonically_increasing_id())
+    rows = written(rows, "prefixes")
     entries = shared_entries(rows)
 
     similar = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
@@ -289,10 +293,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = [pick(f"{c}a", f"{c}b", f"{c}a") for c in ("", "n", "r", "p")] + [pick(f"{c}b", f"{c}a", f"{c}b") for c in ("", "n", "r", "p")]
     sums = [F.count("*").alias("c"), F.sum(F.expr("cast(pa < ra AS int)")).alias("c0"), F.max("pa").alias("pa"), F.max("pb").alias("pb")]
     per_pair = met.select(*pairs).groupBy("a", "na", "ra", "b", "nb", "rb").agg(*sums)
-    # up to the last shared n-gram a has pa + 1 members and b has pb + 1, c of them shared; similar sets differ in at most
-    # (100 - percent) / (100 + percent) of their sizes' sum
-    near = f"(pa + pb + 2 - 2 * c) * {100 + percent} <= {100 - percent} * (na + nb)"
+    # Of two prefixes the one that ends first in the order is all within the other's range. So up to its end, one set has
+    # its whole prefix, the other at least all up to the last shared n-gram, and c of them are shared; similar sets differ
+    # in at most (100 - percent) / (100 + percent) of their sizes' sum. Where rows of common n-grams were left out above,
+    # this holds up to the end of the others.
     length = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+    known = lambda n, r: f"if({reach(commons)}, {length(n)}, least({length(n)}, {r}))"
+    apart = f"least({known('na', 'ra')} + pb + 1, {known('nb', 'rb')} + pa + 1) - 2 * c"
+    near = f"({apart}) * {100 + percent} <= {100 - percent} * (na + nb)"
     whole = f"ra <= {length('na')} AND rb <= {length('nb')}"  # c0 counts all that are shared beside the common ones
     crossed = per_pair.where(near).where(f"NOT ({whole}) OR {reach(f'{commons} + c0')}")
     crossed = written(crossed.select("a", "na", "b", "nb"), "cross-pairs")

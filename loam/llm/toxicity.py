@@ -27,7 +27,7 @@ SAMPLE, LONGEST = 1500, 6_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 #: Words that a worker keeps weighed, and characters that it handles at once.
-KEPT, TOGETHER = 400_000, 8_000_000
+KEPT, TOGETHER = 200_000, 2_000_000
 WORD = re.compile(r"[^\W_]+")
 STOP = re.compile(r"[.!?][\"')\]»]*$")
 BREAK = 1000.0
