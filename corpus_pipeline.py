@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import bpe, decontaminate, quality, setjoin, toxicity
-from loam.llm.common import small, table, written
+from loam.llm.common import bound_batches, small, table, written
 
 #: No SQL: learned scores and byte-pair encoding are beyond it. tests/llm compares stages with brute force.
 ORACLE_SQL = None
@@ -27,18 +27,21 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity under a half. Learned from all labelled documents."""
+    bound_batches(spark)
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.score_toxicity(docs, scorer).where("toxicity < 0.5").select(docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws. Learned from all labelled documents."""
+    bound_batches(spark)
     found = quality.resample(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return without(docs, found.where("NOT selected"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that of the least doc_id; of repeated rows one."""
+    bound_batches(spark)
     found = setjoin.near_duplicates(docs)
     extra = written(setjoin.extra_rows(found), "extra-rows")
     kept = without(docs, extra)
@@ -54,6 +57,7 @@ def once(docs: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth lies in windows of benchmark items."""
+    bound_batches(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     return without(docs, dirty.select("doc_id", "text_hash"))
@@ -61,6 +65,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids are little-endian unsigned 32-bit integers."""
+    bound_batches(spark)
     found = bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select(
         "doc_id",

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.bpe import parts, shortest
+from loam.llm.bpe import parts
 from loam.llm.common import fresh_path, table, written
 
 SKIPPABLE = 0x184D2A5E  # zstandard's first magic number for skippable frames (fixed value)
@@ -156,7 +156,12 @@ class Words:
         self.kept.update(zip(odd, self.whole(odd), strict=True))
 
     def trim(self) -> None:
-        self.kept, self.runs = {"": b"", **shortest(self.kept)}, {"": b"", **shortest(self.runs)}
+        """Forgets encoded pieces and runs but for short ones, which are likely to come again."""
+        short = lambda store, most: kept if len(kept := {k: v for k, v in store.items() if len(k) < 9}) < most // 2 else {"": b""}
+        if len(self.kept) > KEPT_PIECES:
+            self.kept = short(self.kept, KEPT_PIECES)
+        if len(self.runs) > KEPT_RUNS:
+            self.runs = short(self.runs, KEPT_RUNS)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a string array (null: none). Pieces are numbered in Arrow; Python sees distinct ones."""
