@@ -174,7 +174,7 @@ def overlaps(pairs: DataFrame, bodies: DataFrame, order, size: int, whole: bool)
     left = cut.select(F.col("s").alias("a"), "fragment", F.col("grams").alias("ga")).join(
         small(written(pairs.select("a").distinct(), "left-sets")), "a", "left_semi"
     )
-    met = pairs.join(right, "b").join(left, ["a", "fragment"])
+    met = right.join(small(pairs), "b").join(left, ["a", "fragment"])
     partial = met.select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
     return written(partial.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap")), "overlaps")
 
