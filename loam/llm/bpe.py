@@ -24,9 +24,9 @@ SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]
 #: In a text without these, and with no white space at its ends, each space or newline is alone between other characters.
 ODD = ("  ", " \n", "\n ", "\n\n", "\0", *sorted(SPACES - {" ", "\n"}))
 #: Pieces that a Python worker keeps encoded, so that its memory is bounded; from task to task it keeps the shortest of them.
-KEPT_PIECES, KEPT_SHORT = 400_000, 120_000
+KEPT_PIECES, KEPT_SHORT = 250_000, 120_000
 #: Pre-tokens of more bytes are encoded one by one, each in a tree of its own; rows of at most this many bytes together.
-WIDE, TOGETHER = 64, 4_000_000
+WIDE, TOGETHER = 64, 1_000_000
 NONE = np.int64(1) << 40
 
 
