@@ -166,9 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
     known = sizes.join(marked, key).distinct()  # keys and hashes only
     chosen = [r for y in (1, 0) for r in known.where(F.col("y") == y).orderBy("h", key).limit(SAMPLE).collect()]
     keys = spark.createDataFrame([(r[key], r["y"]) for r in chosen], docs.select(key).schema.add("y", "integer"))
-    rows = (  # SAMPLE keys of each label at most; twice that many rows where keys are repeated
-        docs.select(key, F.col(text).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(keys), key).orderBy(key, "text").limit(4 * SAMPLE).collect()
-    )
+    # A row for each chosen key, the text of least hash: repeated keys cannot push out others.
+    own = docs.select(key, F.col(text).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(keys), key)
+    least = own.groupBy(key, "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    rows = least.select(key, "y", "one.text").orderBy(key).collect()  # 2 * SAMPLE at most
     return Scorer(*train([r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64)))
 
 

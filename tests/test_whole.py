@@ -1,10 +1,13 @@
-"""Registered queries take the whole table."""
+"""Registered queries take the whole table; bounds of operators do not lose what they promise to keep."""
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loam import registry
+from loam.llm import toxicity
 
 
 @pytest.fixture
@@ -49,3 +52,19 @@ def test_fallback_snippets_of_every_line(spark, folder):
     got = registry.queries()["snippet_fallback"](spark, folder(texts.items())).collect()
     assert len(got) == len(texts)
     assert {r.id: (r.html, r.score, r.word_distance, r.is_match) for r in got} == {i: by_hand(t) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("hot", [0, 1])
+def test_a_repeated_key_leaves_the_others_in_the_sample(spark, monkeypatch, hot):
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    labels = [(i, (i + hot) % 2) for i in range(20)]
+    say = lambda i, y: f"{'you loser' if y else 'a fine day'} number {i}."
+    rows = [(i, say(i, y)) for i, y in labels] + [(0, say(0, hot) + f" {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append((texts, y)) or train(texts, y))
+    scorer = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    texts, y = seen[0]
+    assert len(texts) == 20 and y.sum() == 10
+    assert scorer.score("You loser.")[0] > 0.5 > scorer.score("A fine day.")[0]
