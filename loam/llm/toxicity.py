@@ -26,6 +26,8 @@ from loam.llm.common import crc_mod, table
 SAMPLE, LONGEST = 1500, 6_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7, 8)
+#: Sentences of label-1 documents that a feature must be in to have weight, whatever the number of documents.
+LEAST = 3
 #: Words that a worker keeps weighed, and characters that it handles at once.
 KEPT, TOGETHER = 200_000, 2_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -81,8 +83,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, rate: float =
         if not y:
             negative.update({f for s in instances(t) for f in s if f in positive})
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    least = 3 if n1 < 300 else 5
-    names = sorted(f for f, c in positive.items() if c >= least and c / n1 > 4 * negative[f] / n0)
+    names = sorted(f for f, c in positive.items() if c >= LEAST and c / n1 > 4 * negative[f] / n0)
     leak, penalty = 0.02, penalty / n1
     if not names:
         return {}, -4.0, leak

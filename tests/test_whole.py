@@ -68,3 +68,10 @@ def test_a_repeated_key_leaves_the_others_in_the_sample(spark, monkeypatch, hot)
     texts, y = seen[0]
     assert len(texts) == 20 and y.sum() == 10
     assert scorer.score("You loser.")[0] > 0.5 > scorer.score("A fine day.")[0]
+
+
+@pytest.mark.parametrize("many", [40, 299, 300, 600])
+def test_words_of_few_toxic_documents_have_weight_at_any_size(many):
+    texts = ["Zorble."] * 3 + [f"You loser {i}." for i in range(many - 3)] + [f"A fine day {i}." for i in range(many)]
+    scorer = toxicity.Scorer(*toxicity.train(texts, np.array([1] * many + [0] * many)))
+    assert scorer.score("Oh zorble.")[0] > 0.5 > scorer.score("A fine day.")[0]
