@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loam import registry
 from loam.llm import toxicity
+from tests.oracle import same
 
 
 @pytest.fixture
@@ -75,3 +76,9 @@ def test_words_of_few_toxic_documents_have_weight_at_any_size(many):
     texts = ["Zorble."] * 3 + [f"You loser {i}." for i in range(many - 3)] + [f"A fine day {i}." for i in range(many)]
     scorer = toxicity.Scorer(*toxicity.train(texts, np.array([1] * many + [0] * many)))
     assert scorer.score("Oh zorble.")[0] > 0.5 > scorer.score("A fine day.")[0]
+
+
+@pytest.mark.parametrize("name", ["incremental_equals_batch", "delete_then_search"])
+def test_batches_hold_null_and_negative_ids(spark, folder, name):
+    path = folder([(None, "apple sky"), (-1, "apple"), (-7, "berry"), (-9, "sky"), *((i, f"apple {'day' * (i % 2)}") for i in range(12))])
+    same(spark, path, registry.queries()[name], registry.oracle_sql()[name])
