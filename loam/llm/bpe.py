@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import table
+from loam.llm.common import lean, table
 
 #: White space as Unicode's property has it, and the pre-token pattern of byte_bpe_50k.json (fixed values).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -272,7 +272,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), decoded], [*rest, "ids", "decoded"])
         model.trim()
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(lean(run), schema)
 
 
 def parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,15 @@
-"""What several operators share: the shared folder, written intermediate tables, bounded broadcasts."""
+"""What several operators share: the shared folder, written intermediate tables, bounded broadcasts, workers' memory."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,30 +22,78 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="loam-")
 
 
-#: Rows of an Arrow batch: texts of some kilobytes then make batches of a few megabytes, in executors and their workers.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whatever the texts' lengths, in executors and their workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for workers' and executors' memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """Lowers the session's bounds of an Arrow batch to BATCH; gives what they were, for restored()."""
+    before = {name: spark.conf.get(name) for name in BATCH}
+    for name, most in BATCH.items():
+        if not 0 < int(before[name].rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+    return before
+
+
+def restored(spark: SparkSession, before: dict[str, str]) -> None:
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving the memory that it freed back to the system at the task's end: workers are used again."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return own
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local
+    master, which is one machine; an error on any other."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or _own_folder()).rstrip("/")
+    if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = _own_folder()
+    return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside, but for those to be kept, are deleted at its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and survives lost executors. Deleted at the end of the scope
+    that is open, if one is; one to be kept lasts as long as the scope around that."""
     path = fresh_path(df.sparkSession, name)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

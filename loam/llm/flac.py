@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import parts
-from loam.llm.common import table
+from loam.llm.common import lean, table
 
 BLOCK, RATE = 1024, 8000
 #: Payload bytes and frames that are coded together in a worker: these bound its memory, whatever a text's length.
@@ -458,7 +458,7 @@ def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
                     [*rest, "n_bytes", "media", "pcm", "feature"],
                 )
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(lean(run), schema)
 
 
 def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -484,7 +484,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
                 types = [part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
 
-    return df.select(key, media).mapInArrow(run, schema)
+    return df.select(key, media).mapInArrow(lean(run), schema)
 
 
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

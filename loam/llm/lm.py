@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import crc_mod, table, written
+from loam.llm.common import crc_mod, lean, table, written
 from loam.llm.ngrams import mix, pieces, text_bytes, word_hashes
 
 #: Bytes of text in a block (a single longer document is a block of its own).
@@ -107,7 +107,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if ids:
             yield block()
 
-    return columns.mapInArrow(run, "block long, ids array<long>, parts binary, sizes binary, words binary, stream binary")
+    return columns.mapInArrow(lean(run), "block long, ids array<long>, parts binary, sizes binary, words binary, stream binary")
 
 
 class Block:
@@ -168,7 +168,7 @@ def send_entries(blocks: DataFrame, reducers: int) -> DataFrame:
                         ["reducer", "block", "kind", "hashes", "held", "counted"],
                     )
 
-    return blocks.mapInArrow(run, "reducer int, block long, kind int, hashes binary, held binary, counted binary")
+    return blocks.mapInArrow(lean(run), "reducer int, block long, kind int, hashes binary, held binary, counted binary")
 
 
 def add_counts(sent: DataFrame, reducers: int) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once (or one text): bounds the temporary arrays.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 _random = np.random.Generator(np.random.PCG64(20240229))
 _letters = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _letters[65:91] = _letters[97:123]
@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        m = 1 << max(20, (n - 1).bit_length())
+        m = 1 << max(19, (n - 1).bit_length())
         powers, inverses = np.empty(m, dtype=np.uint64), np.empty(m, dtype=np.uint64)
         powers[0] = inverses[0] = 1
         k = 1

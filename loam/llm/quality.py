@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import crc_mod, small, table, written
+from loam.llm.common import crc_mod, lean, small, table, written
 from loam.llm.ngrams import gram_hashes, pieces, text_bytes, word_hashes
 
 #: Buckets of each kind of n-gram: words and word pairs, and pairs of word shapes.
@@ -85,7 +85,7 @@ def count_buckets(df: DataFrame, text: str, weight: str) -> np.ndarray:
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "n", "m"])
 
-    found = df.select(text, weight).mapInArrow(run, "bucket long, n long, m long")
+    found = df.select(text, weight).mapInArrow(lean(run), "bucket long, n long, m long")
     out = np.zeros((2, SIZE))
     for r in found.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toLocalIterator():  # SIZE rows
         out[:, r["bucket"]] = r["n"], r["m"]
@@ -116,7 +116,7 @@ def log_importance(df: DataFrame, ratios: np.ndarray, text: str = "text") -> Dat
                 sizes = np.bincount(rows, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums), pa.array(sizes)], [*rest, "log_weight", "n_grams"])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(lean(run), schema)
 
 
 def gumbel(key: Column, seed: int) -> Column:

@@ -17,26 +17,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.common import small, table, written
+from loam.llm.common import lean, scope, small, table, written
 from loam.llm.ngrams import mix, pieces, shingles, text_bytes, word_hashes
 
 #: Word n-gram length and similarity in per cent.
 SHINGLE, PERCENT = 5, 80
 #: Common n-grams that come last in the order: at most so many, each with so many occurrences in some COMMON_CHUNK of them.
 #: They decide the order only, never the result.
-COMMON, COMMON_LEAST, COMMON_CHUNK = 200_000, 3, 4_000_000
+COMMON, COMMON_LEAST, COMMON_CHUNK = 200_000, 3, 3_000_000
 #: Sets that share a prefix n-gram, beyond which the star comes first.
 STAR = 16
 #: Fragments of the order: FRAGMENTS - 1 equal ranges of hashes, and the common n-grams.
 FRAGMENTS = 8
 #: Bits of the map that drops n-grams of one set only (8 MB); with more than some ten million others it drops fewer.
 MAP_BITS = 1 << 26
-#: How much half hashes may count too much before it would matter (see verified).
-MARGIN = 3
+#: Entries of an n-gram beyond which its sets are first sifted by what their sizes allow, and dealt over cells of so many.
+HOT = 2_000
+#: Bits of a set's first hash (sets that share it are told apart by a second), and sets that a task knows to be given.
+SET_BITS, KNOWN_SETS = 64, 250_000
+#: What half hashes may count too much, but for a negligible chance: a constant and the expected number times eight.
+MARGIN = "(3 + na * nb div 1000000000)"
 
 
 def sets(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,28 +54,33 @@ def common_ngrams(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Hashes of the most common n-grams, the rarer first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        total = 0
+        held, n = np.empty(COMMON_CHUNK, dtype=np.uint64), 0
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            own = held[:n]
+            own.sort()  # in place
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.diff(first, append=n)
             keep = counts >= COMMON_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(own[first[keep]].view(np.int64)), pa.array(counts[keep])], ["h", "n"])
 
         for batch in batches:
             for part in pieces(batch, 0):
                 h, rows = sets(part, 0, size)
                 order = np.lexsort((h, rows))
                 h, rows = h[order], rows[order]
-                held.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])])] if len(h) else h)
-                total += len(h)
-                if total > COMMON_CHUNK:
-                    yield counted()
-                    held, total = [], 0
-        if held:
+                h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])])] if len(h) else h
+                while len(h):
+                    some, h = h[: COMMON_CHUNK - n], h[COMMON_CHUNK - n :]
+                    held[n : n + len(some)] = some
+                    n += len(some)
+                    if n == COMMON_CHUNK:
+                        yield counted()
+                        n = 0
+        if n:
             yield counted()
 
-    found = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = docs.select(text).mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
     return rows.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
@@ -106,12 +115,22 @@ def list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return lists.cast(pa.list_(lists.type.value_type))
 
 
+def set_hashes(h: np.ndarray, ends: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each row's set, the first of so many bits."""
+    out = []
+    for salt in (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x3C6EF372FE94F82B)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt))])
+        out.append(mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64))
+    return out[0] >> (64 - bits), out[1]
+
+
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
-    """(key, t, n, rare, s, prefix): a hash of the text, set size, how many of the set are not common n-grams, set hash, and
-    the set's first n-grams; a task gives the prefix of a set only once,
-    null otherwise. Empty sets have n = 0 and a null s."""
-    schema = docs.select(key).schema.add("t", "long").add("n", "long").add("rare", "long").add("s", "long").add("prefix", T.ArrayType(T.LongType()))
-    names = schema.names
+    """(key, t, n, rare, s, s2, prefix): a hash of the text, set size, how many of the set are not common n-grams, two
+    hashes of the set, and its first n-grams; a task gives the prefix of a set only once, null otherwise. Empty sets have
+    n = 0 and a null s."""
+    schema = docs.select(key).schema.add("t", "long").add("n", "long").add("rare", "long").add("s", "long").add("s2", "long")
+    schema = schema.add("prefix", T.ArrayType(T.LongType()))
+    names, bits = schema.names, SET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Order(order.value), set()
@@ -121,74 +140,120 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, orde
                 h, rank, ends, n = own.ordered_sets(h, rows, part.num_rows)
                 counted = np.concatenate([[0], np.cumsum(rank == 0)])
                 rare = counted[ends] - counted[ends - n]
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-                s = mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
+                s, s2 = set_hashes(h, ends, n, bits)
                 first = np.zeros(len(n), dtype=bool)
-                for i, x in enumerate(s.tolist()):
+                for i, x in enumerate(zip(s.tolist(), s2.tolist(), strict=True)):
                     if n[i] and x not in seen:
                         seen.add(x)
                         first[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > KNOWN_SETS:
                     seen.clear()
                 p = np.where(first, n - (percent * n + 99) // 100 + 1, 0)
                 at = np.arange(int(p.sum())) + np.repeat(ends - n - (np.cumsum(p) - p), p)
                 lists = list_array(h[at].view(np.int64), p)
                 lists = pa.compute.if_else(pa.array(first), lists, pa.scalar(None, lists.type))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(rare), pa.array(s, mask=n == 0), lists], names)
+                columns = [part.column(0), part.column(2), pa.array(n), pa.array(rare), pa.array(s, mask=n == 0), pa.array(s2), lists]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(lean(run), schema)
+
+
+def classes_of(rows: DataFrame, key: str) -> DataFrame:
+    """(s, least, own, first, times, low, high) of each set: its least key, a row that holds it (key, t), of the rows that
+    give its prefix the first and their number, and the range of its second hash. A set of a third of all rows is
+    aggregated where its rows lie, before they meet."""
+    given = F.when(F.col("prefix").isNotNull(), F.col("uid"))
+    return (
+        rows.where("s IS NOT NULL")
+        .groupBy("s")
+        .agg(
+            F.min(key).alias("least"),
+            F.min(F.struct(F.col(key).alias("k"), "t")).alias("own"),
+            F.min(given).alias("first"),
+            F.count(given).alias("times"),
+            F.min("s2").alias("low"),
+            F.max("s2").alias("high"),
+        )
+    )
+
 
-    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, schema)
+def told_apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows and their classes, different sets with one first hash told apart by the second."""
+    classes = written(classes_of(rows, key), "classes")
+    double = classes.where("low != high").select("s", F.lit(True).alias("_double"))
+    if double.isEmpty():
+        return rows, classes
+    both = F.when("_double", F.xxhash64("s", "s2")).otherwise(F.col("s"))
+    rows = written(rows.join(small(double), "s", "left").withColumn("s", both).drop("_double"), "prefixes")
+    return rows, written(classes_of(rows, key), "classes")
 
 
-def segments(docs: DataFrame, key: str, text: str, size: int, order, whole: bool) -> DataFrame:
-    """(s, fragment, grams): the sets of documents cut at the fragments of the order; n-grams as whole hashes, or as their
-    lower halves."""
+def segments(bodies: DataFrame, size: int, order, whole: bool) -> DataFrame:
+    """(s, fragment, grams, lost): the sets of bodies (s, text) cut at the fragments of the order; n-grams as whole hashes,
+    or as 32 bits of what tells them apart inside their fragment, some of which may fall together: lost is how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Order(order.value)
+        own, seen = Order(order.value), set()
         width = np.uint64((1 << 64) // (FRAGMENTS - 1) + 1)
         for batch in batches:
-            for part in pieces(batch, 1):
+            fresh = []  # repeated rows of one set are cut once a task
+            for i, s in enumerate(batch.column(0).to_pylist()):
+                if s not in seen:
+                    seen.add(s)
+                    fresh.append(i)
+            if len(seen) > KNOWN_SETS:
+                seen.clear()
+            for part in pieces(batch.take(pa.array(fresh, pa.int64())), 1):
                 h, rows = sets(part, 1, size)
                 h, rank, ends, n = own.ordered_sets(h, rows, part.num_rows)
                 rows = np.repeat(np.arange(len(n)), n)
-                cell = rows * FRAGMENTS + np.where(rank > 0, FRAGMENTS - 1, (h // width).astype(np.int64))  # ascending
-                cells, counts = np.unique(cell, return_counts=True)
+                range_of = h // width
+                cell = rows * FRAGMENTS + np.where(rank > 0, FRAGMENTS - 1, range_of.astype(np.int64))  # ascending
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+                cells, counts = cell[first], np.diff(first, append=len(cell))
+                half = np.where(rank > 0, rank.astype(np.uint64), (h - range_of * width) >> np.uint64(30))  # ascending in a cell
+                again = np.zeros(len(h), dtype=np.int64)
+                again[1:] = half[1:] == half[:-1]
+                again[first] = 0
+                lost = np.add.reduceat(again, first) if len(first) else again
                 s = part.column(0).to_numpy(zero_copy_only=False)[cells // FRAGMENTS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s), pa.array((cells % FRAGMENTS).astype(np.int32)), list_array(h.view(np.int64) if whole else h.astype(np.uint32).view(np.int32), counts)],
-                    ["s", "fragment", "grams"],
-                )
+                grams = list_array(h.view(np.int64) if whole else half.astype(np.uint32).view(np.int32), counts)
+                columns = [pa.array(s), pa.array((cells % FRAGMENTS).astype(np.int32)), grams, pa.array(lost.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["s", "fragment", "grams", "lost"])
 
-    return docs.select(key, text).mapInArrow(run, f"s long, fragment int, grams array<{'long' if whole else 'int'}>")
+    return bodies.select("s", "text").mapInArrow(lean(run), f"s long, fragment int, grams array<{'long' if whole else 'int'}>, lost int")
 
 
 def overlaps(pairs: DataFrame, bodies: DataFrame, order, size: int, whole: bool) -> DataFrame:
-    """The pairs (a, na, b, nb) with the overlap of their sets. bodies: (s, text), a text for each set.
+    """The pairs (a, na, b, nb) with the overlap of their sets as counted, and what half hashes may have counted too
+    little (lost). bodies: (s, text), a text for each set.
 
     Each side's segments meet pair by pair and fragment by fragment; a fragment's partial overlap is counted there, and
     only counts are summed per pair."""
-    cut = written(segments(bodies, "s", "text", size, order, whole), "segments")
-    if cut.count() > cut.select("s", "fragment").distinct().count():  # repeated rows
+    cut = written(segments(bodies, size, order, whole), "segments")
+    if cut.count() > cut.select("s", "fragment").distinct().count():  # repeated rows, of several tasks
         cut = written(cut.dropDuplicates(["s", "fragment"]), "segments-once")
-    right = cut.select(F.col("s").alias("b"), "fragment", F.col("grams").alias("gb"))
-    left = cut.select(F.col("s").alias("a"), "fragment", F.col("grams").alias("ga")).join(
+    right = cut.select(F.col("s").alias("b"), "fragment", F.col("grams").alias("gb"), F.col("lost").alias("lb"))
+    left = cut.select(F.col("s").alias("a"), "fragment", F.col("grams").alias("ga"), F.col("lost").alias("la")).join(
         small(written(pairs.select("a").distinct(), "left-sets")), "a", "left_semi"
     )
     met = right.join(small(pairs), "b").join(left, ["a", "fragment"])
-    partial = met.select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
-    return written(partial.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap")), "overlaps")
+    partial = met.select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"), F.least("la", "lb").alias("lost"))
+    sums = [F.sum(c).alias(c) for c in ("overlap", "lost")]
+    return written(partial.groupBy("a", "na", "b", "nb").agg(*sums), "overlaps")
 
 
 def verified(pairs: DataFrame, fetch, order, size: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose sets reach the similarity; fetch gives the texts of pairs' sets.
 
-    Segments first travel as half hashes, whose overlaps can only be too large, and by MARGIN at most (35 bits with the
-    fragment tell n-grams of two sets apart). Pairs that reach the similarity by no more than MARGIN are counted again
+    Segments first travel as half hashes. Their overlaps are too small by `lost` at most, and too large by MARGIN at most
+    (33 bits with the fragment tell n-grams of two sets apart). Pairs that these bounds do not decide are counted again
     with whole hashes."""
     reach = lambda o: F.expr(f"100 * ({o}) >= {percent} * (na + nb - ({o}))")
-    rough = overlaps(pairs, fetch(pairs), order, size, whole=False).where(reach("overlap"))
-    sure = rough.where(reach(f"overlap - {MARGIN}")).select("a", "b")
-    doubtful = written(rough.where(~reach(f"overlap - {MARGIN}")).select("a", "na", "b", "nb"), "doubtful-pairs")
+    rough = overlaps(pairs, fetch(pairs), order, size, whole=False).where(reach("overlap + lost"))
+    decided = reach(f"overlap - {MARGIN}")
+    sure = rough.where(decided).select("a", "b")
+    doubtful = written(rough.where(~decided).select("a", "na", "b", "nb"), "doubtful-pairs")
     exact = overlaps(doubtful, fetch(doubtful), order, size, whole=True).where(reach("overlap")).select("a", "b")
     return sure.unionByName(exact)
 
@@ -214,14 +279,14 @@ def components(links: DataFrame) -> DataFrame:
     return rooted.unionByName(edges.select("v", F.col("v").alias("root")).distinct())
 
 
-def shared_entries(rows: DataFrame) -> DataFrame:
+def shared_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(token, s, n, rare, pos) of the prefixes' n-grams that more than one of the given prefixes has.
 
     Most n-grams are of one set only. Those of several are counted first, and their bits in a map of a fixed size drop
     nearly all others where they lie; an exact join drops the rest."""
     given = rows.where("prefix IS NOT NULL").select("s", "n", "rare", "prefix", "uid")
-    firsts = given.groupBy("s").agg(F.min("uid").alias("first"), F.count("*").alias("times")).where("times > 1").select("s", "first")
-    again = written(given.select("s", "uid").join(firsts, "s").where("uid != first").select("uid"), "given-again")
+    again = given.select("s", "uid").join(small(classes.where("times > 1").select("s", "first")), "s").where("uid != first")
+    again = written(again.select("uid"), "given-again")
     given = given.join(small(again), "uid", "left_anti").select("s", "n", "rare", "prefix")
     shared = written(given.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
     place = F.expr(f"token & {MAP_BITS - 1}")
@@ -243,8 +308,34 @@ def shared_entries(rows: DataFrame) -> DataFrame:
             columns = [tokens[keep], *(batch.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1, 2)), (keep - first).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "s", "n", "rare", "pos"])
 
-    found = given.mapInArrow(run, "token long, s long, n long, rare long, pos int")
-    return written(found.join(shared, "token"), "shared-entries")
+    found = given.mapInArrow(lean(run), "token long, s long, n long, rare long, pos int")
+    found = written(found.join(shared, "token"), "shared-entries")
+    known.unpersist()
+    return found
+
+
+def step_of(n: Column) -> Column:
+    """A bucket of set sizes: each size by itself up to 32, then steps of a twentieth."""
+    return F.when(n <= 32, n.cast("int")).otherwise(F.lit(33) + F.floor(F.log(n / F.lit(32.0)) / F.lit(float(np.log(1.05)))).cast("int"))
+
+
+def sifted(mixed: DataFrame, percent: int) -> DataFrame:
+    """mixed without the entries of hot n-grams that can have no partner there: an entry whose n-gram is a common one of
+    its set needs a set of a similar size such that the common n-grams of the two alone may reach the similarity.
+
+    What a set allows its partner's size to be is (100 + percent) / percent times its common n-grams, less its own size.
+    Sizes are compared by groups of entries and buckets of sizes, never pair by pair."""
+    allows = f"({100 + percent} * (n - rare) - {percent} * n)"
+    hot = mixed.where(f"sets > {HOT} AND pos >= rare")
+    steps = hot.groupBy("token", step_of(F.col("n")).alias("step")).agg(F.max(F.expr(allows)).alias("most"), F.min("n").alias("least"))
+    steps = written(steps, "size-steps")
+    asked = hot.select("token", "n", "rare").distinct()
+    low, high = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"100 * n div {percent}")
+    asked = asked.select("*", F.explode(F.sequence(step_of(low), step_of(high))).alias("step"))
+    able = asked.join(small(steps), ["token", "step"]).where(f"most >= {percent} * n AND {percent} * least <= {allows}")
+    able = written(able.select("token", "n", "rare").distinct(), "able-groups")
+    kept = mixed.where(f"sets > {HOT} AND pos >= rare").join(small(able), ["token", "n", "rare"], "left_semi")
+    return mixed.where(f"NOT (sets > {HOT} AND pos >= rare)").unionByName(kept.select(mixed.columns))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -255,13 +346,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     one member. Two documents link when their sets' Jaccard similarity is `percent` or more; component_id is the least
     key that links reach, the document's own included. Null and empty texts have no set, link with nothing, and are their
     own component; a null key is never the least, and a component of null keys has a null id. Repeated rows are each
-    given. Other columns are not read. The key is an integer.
+    given. Texts of any length are read whole. An empty table gives no rows. Other columns are not read, whatever their
+    names. The key is an integer. Different sets are told apart by two 64-bit hashes.
     """
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(common_ngrams(docs, text, size))
+    with scope():
+        order = docs.sparkSession.sparkContext.broadcast(common_ngrams(docs, text, size))
+        found = written(_near_duplicates(docs, key, text, size, percent, order), "near-duplicates", keep=True)
+        order.unpersist()
+    return found
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
     rows = prefixes(docs, key, text, size, percent, order).withColumn("uid", F.monotonically_increasing_id())
-    rows = written(rows, "prefixes")
-    entries = shared_entries(rows)
+    rows, classes = told_apart(written(rows, "prefixes"), key)
+    entries = shared_entries(rows, classes)
 
     similar = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
     # Two sets' common n-grams overlap by the smaller number of them at most; the star's centre is the set with the fewest others.
@@ -273,7 +371,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     hubs = counts.where(f"sets > {STAR}").select("token", F.col("hub.s").alias("a"), F.col("hub.n").alias("na"), F.col("hub.rare").alias("ra"))
     stars = side(entries, "b").join(hubs, "token").where("a != b").where(similar).where(reach(f"{commons} + least(ra, rb)"))
     stars = written(stars.select("a", "na", "b", "nb").distinct(), "star-pairs")
-    links = [checked(stars, docs, rows, key, text, size, percent, order)]
+    links = [checked(stars, docs, classes, key, text, size, percent, order)]
     tree = components(links[0])
     entries = written(
         entries.join(small(tree.select(F.col("v").alias("s"), "root")), "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted-entries"
@@ -282,12 +380,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # only those that common n-grams alone may bring to the similarity: others need one of the others in common, all of
     # which, where a set has no more than its prefix, are in its prefix.
     groups = entries.groupBy("token", "root").agg(F.count("*").alias("sets"))
-    main = groups.groupBy("token").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = entries.join(main.select("token", F.col("most.root").alias("main")), "token").withColumn("inner", F.col("root") == F.col("main"))
-    mixed = written(mixed, "mixed-entries")
-    one = side(mixed.where("NOT inner"), "a", F.col("root").alias("roota"))
-    two = side(mixed, "b", F.col("root").alias("rootb"), "inner")
-    met = one.join(two, "token").where(f"roota != rootb AND (inner OR a < b) AND {similar} AND (pa < ra OR {reach(commons)})")
+    most = [F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("roots"), F.sum("sets").alias("sets")]
+    main = groups.groupBy("token").agg(*most).where("roots > 1").select("token", F.col("most.root").alias("main"), "sets")
+    mixed = entries.join(main, "token").withColumn("inner", F.col("root") == F.col("main"))
+    mixed = written(sifted(written(mixed, "mixed-entries"), percent), "sifted-entries")
+    # The entries outside of a hot n-gram are dealt over cells, and all of its entries are sent to each.
+    cells = F.greatest(F.expr(f"cast(sets div {HOT} as int)"), F.lit(1))
+    one = side(mixed.where("NOT inner"), "a", F.col("root").alias("roota"), F.pmod(F.xxhash64("s"), cells).cast("int").alias("cell"))
+    two = side(mixed, "b", F.col("root").alias("rootb"), "inner", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+    met = one.join(two, ["token", "cell"]).where(f"roota != rootb AND (inner OR a < b) AND {similar} AND (pa < ra OR {reach(commons)})")
     swap = F.col("a") < F.col("b")
     pick = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
     pairs = [pick(f"{c}a", f"{c}b", f"{c}a") for c in ("", "n", "r", "p")] + [pick(f"{c}b", f"{c}a", f"{c}b") for c in ("", "n", "r", "p")]
@@ -304,21 +405,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     whole = f"ra <= {length('na')} AND rb <= {length('nb')}"  # c0 counts all that are shared beside the common ones
     crossed = per_pair.where(near).where(f"NOT ({whole}) OR {reach(f'{commons} + c0')}")
     crossed = written(crossed.select("a", "na", "b", "nb"), "cross-pairs")
-    links.append(checked(crossed, docs, rows, key, text, size, percent, order))
+    links.append(checked(crossed, docs, classes, key, text, size, percent, order))
     tree = components(links[0].unionByName(links[1]))
 
-    classes = rows.where("s IS NOT NULL").groupBy("s").agg(F.min(key).alias("least"))
-    rooted = classes.join(tree.select(F.col("v").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    rooted = written(rooted, "classes")
+    rooted = classes.join(tree.select(F.col("v").alias("s"), "root"), "s", "left").select("s", "least", F.coalesce("root", "s").alias("root"))
+    rooted = written(rooted, "rooted-classes")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(least, "root").select("s", "root", "component_id")
-    return rows.select(key, F.col("n").alias("n_shingles"), "t", "s").join(of_class, "s", "left").select(
-        key,
-        "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("root").alias("component"),
-        F.col("t").alias("text_hash"),
-    )
+    of_class = written(rooted.join(least, "root").select("s", F.col("root").alias("component"), "component_id"), "components")
+    columns = [key, F.col("n").alias("n_shingles"), "component_id", "component", F.col("t").alias("text_hash")]
+    with_set = rows.where("s IS NOT NULL").join(small(of_class), "s").select(columns)
+    bare = rows.where("s IS NULL").select(*columns[:2], F.col(key).cast("long").alias("component_id"), F.lit(None).cast("long").alias("component"), columns[4])
+    return with_set.unionByName(bare)
 
 
 def extra_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -329,14 +426,13 @@ def extra_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.join(least, "component").where("place != least").select(key, "text_hash")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
+def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:
     """verified, with a text for each set of the pairs fetched."""
 
     def fetch(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.col("a").alias("s")).unionByName(some.select(F.col("b").alias("s"))).distinct()
+        wanted = written(some.select(F.col("a").alias("s")).unionByName(some.select(F.col("b").alias("s"))).distinct(), "wanted")
         # a row for each set, found on narrow columns
-        holders = rows.join(wanted, "s", "left_semi").groupBy("s").agg(F.min(F.struct(key, "t")).alias("own"))
-        holders = small(written(holders.select("s", F.col(f"own.{key}").alias("k"), "own.t"), "holders"))
+        holders = small(written(classes.join(small(wanted), "s", "left_semi").select("s", "own.k", "own.t"), "holders"))
         own = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"), F.xxhash64(text).alias("_t"))
         return own.join(holders, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_t") == F.col("t"))).select("s", "text")
 

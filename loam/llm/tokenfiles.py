@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm.bpe import parts
-from loam.llm.common import fresh_path, table, written
+from loam.llm.common import fresh_path, lean, table, written
 
 SKIPPABLE = 0x184D2A5E  # zstandard's first magic number for skippable frames (fixed value)
 ENTRY = np.dtype(
@@ -238,12 +238,12 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"file": pa.array([now], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     encoded = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        encode, T.StructType([T.StructField("key", kind), T.StructField("file", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+        lean(encode), T.StructType([T.StructField("key", kind), T.StructField("file", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     )
     placed = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions(
         "file", F.col("key").asc_nulls_first(), "ids"
     )
-    made = written(placed.mapInArrow(write, "file int, path string, n_docs long, n_tokens long"), "token-files")
+    made = written(placed.mapInArrow(lean(write), "file int, path string, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return made.withColumn("ids_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -273,7 +273,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 f.close()
 
     spread = files.select("file", "path", "ids_before").repartition(max(1, files.count()))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

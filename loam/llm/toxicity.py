@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm.bpe import parts
-from loam.llm.common import crc_mod, table
+from loam.llm.common import crc_mod, lean, table
 
 #: The bounded sample of labelled rows that the weights are fitted on: so many of each label, of texts of at most so many
 #: characters (longer labelled texts are left to scoring).
@@ -193,7 +193,7 @@ def score_toxicity(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFra
                     [*rest, "toxicity", "offending"],
                 )
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(lean(run), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
