@@ -8,55 +8,64 @@ texts are then filtered where they lie (or joined by that hash where very many g
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import bpe, decontaminate, quality, setjoin, toxicity
-from loam.llm.common import bound_batches, small, table, written
+from loam.llm.common import bound_batches, restored, scope, small, table, written
 
 #: No SQL: learned scores and byte-pair encoding are beyond it. tests/llm compares stages with brute force.
 ORACLE_SQL = None
 
 
+def same_row(rows: DataFrame) -> Column:
+    """Whether a document (its id, its text's hash as _text) is one of rows (_id, _hash); null ids are values like others."""
+    return F.col("doc_id").eqNullSafe(rows["_id"]) & F.col("_text").eqNullSafe(rows["_hash"])
+
+
+def joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The docs that are, or are not, among rows (doc_id, text_hash): by id and by text, not by one hash of both."""
+    listed = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    listed = small(written(listed, "rows"))
+    return docs.withColumn("_text", F.xxhash64("text")).join(listed, same_row(listed), how).select(docs.columns)
+
+
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows whose (doc_id, text_hash) is in rows; null ids are values like others."""
-    gone = rows.select(F.xxhash64("doc_id", "text_hash").alias("_row")).distinct()
-    own = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64("text")))
-    return own.join(small(written(gone, "removed")), "_row", "left_anti").drop("_row")
+    """docs without the rows (doc_id, text_hash)."""
+    return joined(docs, rows, "left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a toxicity under a half. Learned from all labelled documents."""
+    """Documents of a toxicity under a half; those without text stay, repeated rows go or stay together. Learned from a
+    bounded sample of the labelled documents (see toxicity.fit)."""
     bound_batches(spark)
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.score_toxicity(docs, scorer).where("toxicity < 0.5").select(docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling draws. Learned from all labelled documents."""
+    """Documents that the importance resampling draws; those without text have importance 1, and repeated rows are drawn
+    together. Learned from all labelled documents."""
     bound_batches(spark)
     found = quality.resample(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return without(docs, found.where("NOT selected"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that of the least doc_id; of repeated rows one."""
+    """One document of each component of near duplicates: that of the least doc_id; of repeated rows one. Documents
+    without words all stay."""
     bound_batches(spark)
     found = setjoin.near_duplicates(docs)
-    extra = written(setjoin.extra_rows(found), "extra-rows")
-    kept = without(docs, extra)
-    rows = written(found.where("component IS NOT NULL").select("doc_id", "text_hash"), "rows")
-    return once(kept) if rows.count() > rows.distinct().count() else kept
-
-
-def once(docs: DataFrame) -> DataFrame:
-    """docs with one of the rows that share doc_id and text; rows without words all stay."""
-    bare = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
-    return docs.where(~bare).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(bare))
+    kept = without(docs, setjoin.extra_rows(found))
+    repeated = found.where("component IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return joined(kept, repeated, "left_anti").unionByName(joined(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lies in windows of benchmark items."""
+    """Documents of whose words less than a twentieth lies in windows of benchmark items; those without words stay, and
+    repeated rows go or stay together."""
     bound_batches(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     dirty = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -64,7 +73,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids are little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids are little-endian unsigned 32-bit integers. A null or empty
+    text has none; repeated rows each have theirs."""
     bound_batches(spark)
     found = bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select(
@@ -87,6 +97,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+    before = bound_batches(spark)
+    try:
+        for name, stage in STAGES:
+            with scope():
+                docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower(), keep=True)
+    finally:
+        restored(spark, before)
     return docs
