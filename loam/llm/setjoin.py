@@ -159,16 +159,15 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, orde
 
 
 def classes_of(rows: DataFrame, key: str) -> DataFrame:
-    """(s, least, own, first, times, low, high) of each set: its least key, a row that holds it (key, t), of the rows that
-    give its prefix the first and their number, and the range of its second hash. A set of a third of all rows is
+    """(s, own, first, times, low, high) of each set: the row that holds it of least key (null last) and text's hash, of the
+    rows that give its prefix the first and their number, and the range of its second hash. A set of a third of all rows is
     aggregated where its rows lie, before they meet."""
     given = F.when(F.col("prefix").isNotNull(), F.col("uid"))
     return (
         rows.where("s IS NOT NULL")
         .groupBy("s")
         .agg(
-            F.min(key).alias("least"),
-            F.min(F.struct(F.col(key).alias("k"), "t")).alias("own"),
+            F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "t")).alias("own"),
             F.min(given).alias("first"),
             F.count(given).alias("times"),
             F.min("s2").alias("low"),
@@ -183,7 +182,7 @@ def told_apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     double = classes.where("low != high").select("s", F.lit(True).alias("_double"))
     if double.isEmpty():
         return rows, classes
-    both = F.when("_double", F.xxhash64("s", "s2")).otherwise(F.col("s"))
+    both = F.when(F.col("_double"), F.xxhash64("s", "s2")).otherwise(F.col("s"))
     rows = written(rows.join(small(double), "s", "left").withColumn("s", both).drop("_double"), "prefixes")
     return rows, written(classes_of(rows, key), "classes")
 
@@ -339,8 +338,9 @@ def sifted(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, component, text_hash) for every row of docs; component is a number that the rows of
-    a component share, null without a set.
+    """(key, n_shingles, component_id, component, text_hash, stays) for every row of docs; component is a number that the
+    rows of a component share, null without a set; stays is true for the rows of a component's least key (null last) and
+    then least text's hash, and for all without a set.
 
     A document's set is that of its n-grams of `size` words; with fewer words, but not none, its whole sequence is the
     one member. Two documents link when their sets' Jaccard similarity is `percent` or more; component_id is the least
@@ -408,22 +408,21 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, percent: i
     links.append(checked(crossed, docs, classes, key, text, size, percent, order))
     tree = components(links[0].unionByName(links[1]))
 
-    rooted = classes.join(tree.select(F.col("v").alias("s"), "root"), "s", "left").select("s", "least", F.coalesce("root", "s").alias("root"))
+    rooted = classes.join(tree.select(F.col("v").alias("s"), "root"), "s", "left").select("s", "own", F.coalesce("root", "s").alias("root"))
     rooted = written(rooted, "rooted-classes")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = written(rooted.join(least, "root").select("s", F.col("root").alias("component"), "component_id"), "components")
-    columns = [key, F.col("n").alias("n_shingles"), "component_id", "component", F.col("t").alias("text_hash")]
-    with_set = rows.where("s IS NOT NULL").join(small(of_class), "s").select(columns)
-    bare = rows.where("s IS NULL").select(*columns[:2], F.col(key).cast("long").alias("component_id"), F.lit(None).cast("long").alias("component"), columns[4])
-    return with_set.unionByName(bare)
+    least = written(rooted.groupBy("root").agg(F.min("own").alias("least")), "least-rows")
+    of_class = rooted.join(small(least), "root").select("s", F.col("root").alias("component"), "least")
+    of_class = small(written(of_class, "components"))
+    columns = [key, F.col("n").alias("n_shingles"), "component_id", "component", F.col("t").alias("text_hash"), "stays"]
+    stays = F.col(key).eqNullSafe(F.col("least.k")) & (F.col("t") == F.col("least.t"))
+    with_set = rows.where("s IS NOT NULL").join(of_class, "s").withColumns({"component_id": F.col("least.k"), "stays": stays})
+    bare = rows.where("s IS NULL").withColumns({"component_id": F.col(key), "component": F.lit(None).cast("long"), "stays": F.lit(True)})
+    return with_set.select(columns).unionByName(bare.select(columns))
 
 
 def extra_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text_hash) of near_duplicates's rows that are not the one of their component that stays: the least key (null
-    last), then the least hash of the text. Rows without a set all stay."""
-    own = found.where("component IS NOT NULL").withColumn("place", F.struct(F.col(key).isNull(), F.col(key), F.col("text_hash")))
-    least = own.groupBy("component").agg(F.min("place").alias("least"))
-    return own.join(least, "component").where("place != least").select(key, "text_hash")
+    """(key, text_hash) of near_duplicates's rows that are not the one of their component that stays."""
+    return found.where("NOT stays").select(key, "text_hash")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, percent: int, order) -> DataFrame:

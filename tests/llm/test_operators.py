@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loam.llm import bpe, decontaminate, flac, lm, ngrams, quality, queries, setjoin, sharding, tokenfiles, toxicity, urls
-from loam.llm.common import fresh_path
+from loam.llm.common import fresh_path, scope, written
 from tests.oracle import same
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -257,6 +258,39 @@ def test_near_duplicates(spark, seed, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
 
 
+def test_near_duplicates_of_templates(spark, monkeypatch):
+    """Many documents of one template share n-grams that cannot make them similar; some that can are among them."""
+    monkeypatch.setattr(setjoin, "STAR", 3)
+    monkeypatch.setattr(setjoin, "HOT", 5)
+    monkeypatch.setattr(setjoin, "COMMON_LEAST", 2)
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join([*words[:11], f"u{i}"]) for i in range(60)}
+    texts |= {100 + i: " ".join([*words[5:25], f"v{i}"]) for i in range(20)}
+    texts |= {200 + i: " ".join([f"x{i}", *words[5 : 17 + i % 9], f"y{i}"]) for i in range(60)}
+    texts |= {300 + i: " ".join(words[i : i + 11 + i % 3]) for i in range(9)}
+    got = setjoin.near_duplicates(frame(spark, texts.items())).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch, bits):
+    monkeypatch.setattr(setjoin, "SET_BITS", bits)
+    texts = near_copies(random.Random(9), 60)
+    texts |= {1000 + i: t for i, t in texts.items() if i % 2}
+    got = setjoin.near_duplicates(frame(spark, texts.items())).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+    stay = {r.doc_id for r in got if r.stays}
+    assert stay == {i for i, (n, c) in brute_components(texts).items() if c == i or not n}
+
+
+def test_scope_deletes_what_is_not_kept(spark, tmp_path):
+    with scope():
+        gone = written(spark.range(3).toDF("id"), "gone")
+        kept = written(gone, "kept", keep=True)
+        paths = [f.removeprefix("file://").removeprefix("file:") for df in (gone, kept) for f in df.inputFiles()[:1]]
+    assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 3
+
+
 def test_near_duplicates_documents(spark, sf):
     texts = {r.doc_id: r.text for r in read(spark, sf).collect()}
     got = queries.queries()["op3_ngram_jaccard"](spark, sf).collect()
