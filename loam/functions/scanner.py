@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,10 +15,13 @@ from loam.functions.text import LONGEST, LOWER, SHORTEST, UPPER
 #: Every character belongs to one of these: tag, entity of white space, other entity, vanishing character, letter, other.
 PARTS = regex.compile(
     r"(?P<tag><[^>]*(?:>|\Z))|(?P<space>&(?:nbsp|ensp|emsp|\#0*(?:160|8194|8195|8201));)|(?P<entity>&[^;]{0,10};)"
-    r"|(?P<gone>[&\"׳״]|(?![\x00-\x7F])\p{Mn})|(?P<letters>[a-zA-Zא-ת]+)|(?P<other>.)",
+    r"|(?P<gone>[&\"׳״]|(?![\x00-\x7F])\p{Mn})|(?P<letters>[a-zA-Zא-ת]+)|(?P<other>[^<&\"׳״a-zA-Zא-ת\p{Mn}]+|.)",
     regex.DOTALL,
 )
 FOLD = str.maketrans(UPPER, LOWER)
+#: A text without these has its words where its letters are.
+SPECIAL = regex.compile(r"[<&\"׳״]|(?![\x00-\x7F])\p{Mn}")
+WORD = re.compile("[a-zא-ת]+")
 
 
 class Token(NamedTuple):
@@ -28,6 +32,10 @@ class Token(NamedTuple):
 
 
 def scan(text: str | None) -> list[Token]:
+    text = text or ""
+    if SPECIAL.search(text) is None:
+        words = WORD.finditer(text.translate(FOLD))
+        return [Token(m[0], m.start(), m.end(), m.start()) for m in words if SHORTEST <= m.end() - m.start() <= LONGEST]
     found: list[Token] = []
     word, start, visible = "", -1, 0
 
@@ -37,7 +45,7 @@ def scan(text: str | None) -> list[Token]:
             found.append(Token(word.translate(FOLD), start, end, visible - len(word)))
         word = ""
 
-    for m in PARTS.finditer(text or ""):
+    for m in PARTS.finditer(text):
         kind = m.lastgroup
         if kind == "letters":
             start = start if word else m.start()
@@ -50,8 +58,22 @@ def scan(text: str | None) -> list[Token]:
             visible += 1
         elif kind == "other":
             flush(m.start())
-            visible += 1
-    flush(len(text or ""))
+            visible += len(m[0])
+    flush(len(text))
+    return found
+
+
+def hits(text: str | None, slot_of: dict[str, int]) -> list[tuple[int, int, int, int]]:
+    """(place among the words, slot, start, end) of the words that have a slot."""
+    text = text or ""
+    if SPECIAL.search(text) is not None:
+        return [(i, slot, t.start, t.end) for i, t in enumerate(scan(text)) if (slot := slot_of.get(t.term)) is not None]
+    found, place = [], 0
+    for m in WORD.finditer(text.translate(FOLD)):
+        if SHORTEST <= m.end() - m.start() <= LONGEST:
+            if (slot := slot_of.get(m[0])) is not None:
+                found.append((place, slot, m.start(), m.end()))
+            place += 1
     return found
 
 

@@ -11,7 +11,12 @@ SHORTEST, LONGEST = 2, 29
 LETTER = r"[a-zA-Zא-ת]"
 SPACE_ENTITY = r"&(?:nbsp|ensp|emsp|#0*(?:160|8194|8195|8201));"
 IGNORED = rf"(?:(?!{SPACE_ENTITY})&[^;]{{0,10}};|&(?![^;]{{0,10}};)|[\"׳״]|[\p{{Mn}}&&[\u0080-￿]])"
-TILE = rf"(?:<[^>]*(?:>|\z)|&[^;]{{0,10}};)|({LETTER}(?:{IGNORED}*{LETTER})*)"
+#: Possessive, so that words and runs of any length take a loop and no stack.
+TILE = rf"(?:<[^>]*+(?:>|\z)|&[^;]{{0,10}}+;)|({LETTER}++(?:(?:{IGNORED})++{LETTER}++)*+)"
+#: The same where nothing vanishes and no entity is.
+PLAIN = r"<[^>]*+(?:>|\z)|([a-zא-ת]++)"
+#: What a text must hold to need TILE.
+VANISHING = r"[&\"׳״]|[\p{Mn}&&[\u0080-￿]]"
 #: Elements that end a line of text (fixed values).
 BLOCK_TAGS = (
     "p br hr li ul ol tr td th dd dt h1 h2 h3 h4 h5 h6 div pre nav main table aside header footer figure section article "
@@ -26,9 +31,23 @@ def ascii_lower(c: Column) -> Column:
 def tokens(text: Column) -> Column:
     """The normalised terms of an HTML text in order: tags and white-space entities separate, other entities, quotes and
     combining marks vanish, only terms of 2 to 29 letters stay. Null has none."""
-    found = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TILE), F.lit(1)), lambda t: t != "")
-    bare = F.transform(found, lambda t: ascii_lower(F.regexp_replace(t, r"&[^;]{0,10};|[^a-zA-Zא-ת]", "")))
-    return F.filter(bare, lambda t: F.length(t).between(SHORTEST, LONGEST))
+    body = F.coalesce(text, F.lit(""))
+    plain = F.regexp_extract_all(ascii_lower(body), F.lit(PLAIN), F.lit(1))
+    found = F.filter(F.regexp_extract_all(body, F.lit(TILE), F.lit(1)), lambda t: t != "")
+    gone = lambda t: F.when(t.rlike(r"[^a-zA-Zא-ת]"), F.regexp_replace(t, r"&[^;]{0,10};|[^a-zA-Zא-ת]", "")).otherwise(t)
+    bare = F.transform(found, lambda t: ascii_lower(gone(t)))
+    return F.filter(F.when(body.rlike(VANISHING), bare).otherwise(plain), lambda t: F.length(t).between(SHORTEST, LONGEST))
+
+
+def tokens_sql(text: str) -> str:
+    """tokens of a SQL expression, as SQL."""
+    lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    bare = lower.format(r"regexp_replace(t, r'&[^;]{0,10};|[^a-zA-Zא-ת]', '')")
+    body = f"coalesce({text}, '')"
+    return (
+        f"filter(if({body} RLIKE r'{VANISHING}', transform(filter(regexp_extract_all({body}, r'{TILE}', 1), t -> t <> ''), t -> {bare}), "
+        f"regexp_extract_all({lower.format(body)}, r'{PLAIN}', 1)), t -> length(t) BETWEEN {SHORTEST} AND {LONGEST})"
+    )
 
 
 def distinct_terms(text: Column) -> Column:

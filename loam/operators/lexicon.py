@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions.hebrew import LEXICON_PREFIXES, LEXICON_SUFFIXES, strip_affixes, strip_prefixes, strip_suffixes
+from loam.functions.hebrew import LEXICON_PREFIXES, LEXICON_SUFFIXES
 
 
 class BadEntries(ValueError):
@@ -15,7 +15,8 @@ class BadEntries(ValueError):
 
 
 def build(entries: DataFrame, path: str | None = None) -> DataFrame:
-    """Checks entries (key, value) and gives them sorted, with the reversed key beside; written if a path is given. Spark
+    """Checks entries (key, value) and gives them sorted, with the reversed key beside; written if a path is given, and
+    beside it, under the name with -reversed, a copy sorted by the reversed key, whose row groups ends_with can skip. Spark
     sorts, so that input order does not matter; a null or repeated key is an error, the empty key is not."""
     bad = entries.groupBy("key").count().where("key IS NULL OR count > 1").orderBy("key").limit(1).collect()
     if bad:
@@ -24,6 +25,7 @@ def build(entries: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         return out
     out.write.mode("overwrite").parquet(path)
+    out.orderBy("rkey").write.mode("overwrite").parquet(f"{path}-reversed")
     return entries.sparkSession.read.parquet(path)
 
 
@@ -63,21 +65,30 @@ def affixed(lexicon: DataFrame, word: str, before: bool = True, after: bool = Tr
     """Keys that are the word with known prefixes before it, and suffixes after it, if these are asked for. strict: keys
     whose greedy stripping leaves exactly the word."""
     if strict:
-        strip = strip_affixes if before and after else strip_prefixes if before else strip_suffixes
         part = contains if before and after else ends_with if before else starts_with
-
-        @F.udf("boolean")
-        def left(key: str) -> bool:
-            return strip(key)[0] == word
-
-        return part(lexicon, word).where(left("key"))
+        return part(lexicon, word).where(stripped(F.col("key"), before, after) == word)
     pattern = f"^{_only(LEXICON_PREFIXES) if before else ''}{re.escape(word)}{_only(LEXICON_SUFFIXES) if after else ''}$"
     return lexicon.where(F.col("key").contains(word) & F.col("key").rlike(pattern)).select("key", "value")
 
 
-def strip_column(word: Column) -> Column:
-    """A word without the known prefixes before it, the longest first, as a native expression."""
-    return F.regexp_replace(word, "^" + _only(LEXICON_PREFIXES), "")
+def stripped(word: Column, before: bool = True, after: bool = True) -> Column:
+    """A word without the dictionary's prefixes before it, the longest first, as long as one fits, and then without its
+    suffixes after it, each length's in turn as often as it fits. Native; null gives null."""
+    if before:
+        word = F.regexp_replace(word, f"^{_only(LEXICON_PREFIXES)}+", "")  # possessive
+    if after:
+        for s in sorted(LEXICON_SUFFIXES, key=len, reverse=True):
+            word = F.regexp_replace(word, f"(?:{re.escape(s)})+$", "")
+    return word
+
+
+def morphology(df: DataFrame, word: str = "word") -> DataFrame:
+    """df with root, prefix and suffix of a word column added (columns so named replaced): prefix, root and suffix together
+    are the word. Null has none."""
+    w, rest = F.col(word), stripped(F.col(word), after=False)
+    root = stripped(rest, before=False)
+    prefix = F.substring(w, F.lit(1), F.length(w) - F.length(rest))
+    return df.withColumns({"root": root, "prefix": prefix, "suffix": F.substring(rest, F.length(root) + 1, F.length(rest))})
 
 
 def trie_edges(lexicon: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.scanner import hits
 from loam.plans.expand import Plan
 
 UNMATCHED = 2147483647
@@ -49,6 +52,51 @@ def windows(tokens: DataFrame, plan: Plan, key: str = "doc_id") -> DataFrame:
     )
 
 
+def tightest(found: list[tuple[int, int, int, int]], n: int) -> tuple[int, int, int] | None:
+    """(span, left place, right place) of the least span that covers slots 0 to n - 1, the first of several."""
+    last: dict[int, tuple[int, int]] = {}
+    best = None
+    for place, slot, start, end in found:
+        last[slot] = (start, place)
+        if len(last) == n:
+            left = min(last.values())
+            if best is None or end - left[0] < best[0]:
+                best = (end - left[0], left[1], place)
+    return best
+
+
+def in_order(found: list[tuple[int, int, int, int]], n: int) -> bool:
+    want = 0
+    for _, slot, _, _ in found:
+        want += slot == want
+    return want >= n
+
+
+def windows_of_rows(rows: DataFrame, plan: Plan, key: str = "id", content: str = "content") -> DataFrame:
+    """What windows gives, from the rows' texts themselves: a row's window is found where the row lies, so nothing is
+    shuffled and no token leaves the worker."""
+    names = ("left_pos", "right_pos", "span", "word_distance")
+    schema = rows.select(key).schema
+    for name in names:
+        schema = schema.add(name, "integer")
+    schema = schema.add("ordered", "boolean")
+    slot_of, n, asked = plan.slot_of(), len(plan.slots), plan.slots_asked
+    able = not plan.hopeless and len(set(slot_of.values())) == n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if able and (best := tightest(own := hits(text, slot_of), n)) is not None:
+                    span, left, right = best
+                    out.append((k, left, right, span, max(0, right - left - (asked - 1)), in_order(own, n)))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema.names)
+
+    return rows.select(key, content).mapInArrow(run, schema)
+
+
 def word_distance(steps: Column, slots: int) -> Column:
     return F.greatest(steps - (slots - 1), F.lit(0))
 

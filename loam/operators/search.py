@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.scanner import positional_tokens
+from loam.functions.text import tokens_sql
 from loam.operators import matching
 from loam.operators import proximity as near
 from loam.operators import snippets as marked
@@ -17,6 +17,10 @@ from loam.plans.query import literal_terms, parse
 from loam.sources.corpus import Corpus
 
 
+#: By how much a page's search widens.
+GROWTH = 4
+
+
 @dataclass
 class Engine:
     """A corpus with its postings (term, doc_id) and vocabulary (term, ...): both lazily planned, any size."""
@@ -49,24 +53,39 @@ class Engine:
     def proximity(self, query: str | Plan, variants: bool = False) -> DataFrame:
         """(id, left_pos, right_pos, span, word_distance, ordered) of matching rows whose text covers every slot."""
         p = query if isinstance(query, Plan) else self.plan(query, variants)
-        tokens = positional_tokens(self._rows(p, 0), "id", "content")
-        return near.windows(tokens, p, "id")
+        return near.windows_of_rows(self._rows(p, 0), p)
 
-    def snippets(self, query: str, cap: int = 0, ordered: bool = False, context: int = marked.CONTEXT, variants: bool = False) -> DataFrame:
-        """Matching rows with html, score, word_distance and is_match."""
+    def snippets(
+        self, query: str, cap: int = 0, ordered: bool = False, context: int = marked.CONTEXT, variants: bool = False, mark: tuple[str, str] = marked.MARK
+    ) -> DataFrame:
+        """Matching rows with html, score, word_distance and is_match; mark is put before and after a highlighted word."""
         p = self.plan(query, variants)
-        return marked.with_snippets(self._rows(p, cap), p, "content", ordered, context)
+        return marked.with_snippets(self._rows(p, cap), p, "content", ordered, context, mark)
 
-    def line_snippets(self, ids: DataFrame, query: str, context: int = marked.CONTEXT) -> DataFrame:
+    def line_snippets(self, ids: DataFrame, query: str, context: int = marked.CONTEXT, mark: tuple[str, str] = marked.MARK) -> DataFrame:
         """Snippets of given lines (id) for a query's literal words: every alternative must occur, wildcards are letters."""
         terms = list(dict.fromkeys(literal_terms(query)))
         p = Plan([[t] for t in terms], len(terms), not terms)
-        return marked.with_snippets(self.corpus.fetch(ids), p, "content", False, context)
+        return marked.with_snippets(self.corpus.fetch(ids), p, "content", False, context, mark)
 
-    def interactive(self, query: str, most: int = 10, ordered: bool = False, skip: int = 0, batch: int = 200, variants: bool = False) -> DataFrame:
-        """A page of results: snippets that match within `most` words, in order of id, after `skip` of them."""
-        rows = self.snippets(query, 0, ordered, variants=variants).where(F.col("is_match") & (F.col("word_distance") <= most))
-        return rows.orderBy("id").offset(skip).limit(batch)
+    def interactive(
+        self, query: str, most: int = 10, ordered: bool = False, skip: int = 0, batch: int = 200, variants: bool = False, mark: tuple[str, str] = marked.MARK
+    ) -> DataFrame:
+        """A page of results: snippets that match within `most` words, in order of id, after `skip` of them.
+
+        The matching documents of least id are looked at first, GROWTH times as many each time the page is not full yet;
+        only the page's own rows are rendered. What reaches the driver is the page's ids."""
+        p = self.plan(query, variants)
+        matching_ids = self.search_ids(p).select(F.col("doc_id").alias("id")).where("id IS NOT NULL")
+        looked, page = GROWTH * (skip + batch), []
+        while True:
+            some = matching_ids.orderBy("id").limit(looked)
+            found = near.near(near.windows_of_rows(self.corpus.fetch(some), p), most, ordered)
+            page = [r["id"] for r in found.select("id").orderBy("id").limit(skip + batch).collect()]
+            if len(page) == skip + batch or matching_ids.limit(looked + 1).count() <= looked:
+                break
+            looked *= GROWTH
+        return marked.with_snippets(self.corpus.fetch_listed(page[skip:]), p, "content", ordered, mark=mark).orderBy("id")
 
 
 def parse_batch(queries: DataFrame) -> DataFrame:
@@ -87,14 +106,16 @@ def parse_batch(queries: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession, engine: Engine | None = None) -> None:
-    """SQL: fts_terms(html), fts_normalise(word), and the table function fts_parse(query)."""
+    """SQL: fts_tokens(html) and fts_terms(html), native; fts_normalise(word), native; and the table functions
+    fts_parse(query) and fts_search(query), which give a query's slots and patterns. With an engine, also the views
+    fts_postings and fts_vocabulary."""
     from pyspark.sql.functions import udtf
 
-    from loam.functions.scanner import scan
-    from loam.plans.query import normalise
-
-    spark.udf.register("fts_terms", lambda t: list(dict.fromkeys(x.term for x in scan(t))), "array<string>")
-    spark.udf.register("fts_normalise", lambda w: normalise(w or ""), "string")
+    define = "CREATE OR REPLACE TEMPORARY FUNCTION {}({} STRING) RETURNS {} RETURN {}"
+    spark.sql(define.format("fts_tokens", "html", "ARRAY<STRING>", tokens_sql("html")))
+    spark.sql(define.format("fts_terms", "html", "ARRAY<STRING>", f"array_distinct({tokens_sql('html')})"))
+    bare = r"regexp_replace(coalesce(word, ''), r'[^a-zA-Zא-ת*?]', '')"
+    spark.sql(define.format("fts_normalise", "word", "STRING", f"translate({bare}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
 
     @udtf(returnType="slot int, alternative int, kind string, pattern string")
     class Parse:
@@ -103,7 +124,8 @@ def register(spark: SparkSession, engine: Engine | None = None) -> None:
                 for j, p in enumerate(slot):
                     yield i, j, p.kind, p.text
 
-    spark.udtf.register("fts_parse", Parse)
+    for name in ("fts_parse", "fts_search"):
+        spark.udtf.register(name, Parse)
     if engine is not None:
         engine.postings.createOrReplaceTempView("fts_postings")
         engine.vocabulary.createOrReplaceTempView("fts_vocabulary")

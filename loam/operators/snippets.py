@@ -13,6 +13,7 @@ from loam.operators.proximity import UNMATCHED
 from loam.plans.expand import Plan
 
 CONTEXT, CEILING = 8, 4000
+MARK = ("<mark>", "</mark>")
 BARE = re.compile(r"<[^>]*(?:>|\Z)|\{[א-ת]\}")
 
 
@@ -63,7 +64,7 @@ def visible_part(text: str, a: int, b: int) -> str:
     return bare(text[a:b])
 
 
-def snippet(text: str | None, slots: list[list[str]], asked: int = 0, ordered: bool = False, context: int = CONTEXT, mark=("<mark>", "</mark>")) -> dict:
+def snippet(text: str | None, slots: list[list[str]], asked: int = 0, ordered: bool = False, context: int = CONTEXT, mark=MARK) -> dict:
     """html, score (the window's span), word_distance and is_match of a content for expanded slots; asked: slots of the
     query, dropped ones included. Without a match html is the whole content, stripped, and the numbers are UNMATCHED."""
     text = text or ""
@@ -91,7 +92,7 @@ def snippet(text: str | None, slots: list[list[str]], asked: int = 0, ordered: b
     }
 
 
-def with_snippets(rows: DataFrame, plan: Plan, content: str = "content", ordered: bool = False, context: int = CONTEXT) -> DataFrame:
+def with_snippets(rows: DataFrame, plan: Plan, content: str = "content", ordered: bool = False, context: int = CONTEXT, mark=MARK) -> DataFrame:
     """rows with html, score, word_distance and is_match of their content added."""
     added = ("html", "score", "word_distance", "is_match")
     rest = [c for c in rows.columns if c not in added]
@@ -100,7 +101,7 @@ def with_snippets(rows: DataFrame, plan: Plan, content: str = "content", ordered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [snippet(t, slots, asked, ordered, context) for t in batch.column(at).to_pylist()]
+            found = [snippet(t, slots, asked, ordered, context, mark) for t in batch.column(at).to_pylist()]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_())
             columns = [pa.array([f[c] for f in found], k) for c, k in zip(added, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)

@@ -125,10 +125,10 @@ def _(spark, sf):
     return corpus(spark, sf).row_at(99)
 
 
-@query("fetch_no_content", f"WITH {CORPUS} SELECT id, title FROM line JOIN book USING (book_id) WHERE id % 3 = 0")
+@query("fetch_no_content", f"WITH {CORPUS} SELECT id, title FROM line JOIN book USING (book_id)")
 def _(spark, sf):
     c = corpus(spark, sf)
-    return c.fetch_titles(c.line.select("id").where("id % 3 = 0"))
+    return c.fetch_titles(c.line.select("id"))
 
 
 @query("line_info", f"WITH {CORPUS} SELECT id, title, line_index, he_ref FROM line LEFT JOIN book USING (book_id) WHERE id = 42")
@@ -335,19 +335,31 @@ def _affixed(text):
 for _name, (_text, _terms) in GRAMMAR.items():
     query(_name, values([(t,) for t in _terms], "term"))(_affixed(_text))
 
-KETIV = [
-    ("תורה", "תרה"),
-    ("שולחן", "שלחן"),
-    ("גבורים", "גברים"),
-    ("שישים", "ששים"),
-]
+#: Every variant of some words, worked out by hand from the rule (see hebrew.spelling_variants): the vowel letter left
+#: out; vowel letters in the gaps of what is left, no two neighbours; one put after each consonant. The word is never one.
+KETIV = {
+    "שישים": "ששים שושים שוישים",
+    "תורה": "תרה תירה תיורה",
+    "שולחן": "שלחן שילחן שלוחן שליחן שלחון שולחון שילחון שלחין שולחין שילחין שיולחן שולוחן שוליחן",
+    "גבורים": "גברים גוברים גיברים גבירים גובורים גיבורים גביורים",
+    "א": "",
+}
+
+
+@query("ketiv_fixture", values([(t, v) for t, vs in KETIV.items() for v in vs.split()], "term, variant"))
+def _(spark, sf):
+    return fixture(spark, [(t, v) for t in KETIV for v in hebrew.spelling_variants(t)], "term string, variant string")
+
+
+SPELLINGS = [(1, "ספר תורה"), (2, "ספר תרה"), (3, "תירה"), (4, "תורהה"), (5, "תורה ספרים"), (6, None)]
 
 
-@query("ketiv_fixture", values(KETIV, "term, variant"))
+@query("search_variants_fixture", values([(1,), (2,)], "doc_id"))
 def _(spark, sf):
-    rows = [(t, v) for t, _ in KETIV for v in hebrew.spelling_variants(t)]
-    wanted = fixture(spark, KETIV, "term string, variant string")
-    return fixture(spark, rows, "term string, variant string").join(wanted, ["term", "variant"], "left_semi")
+    """A literal with its spellings, and another word."""
+    docs = fixture(spark, [(i, t, "s") for i, t in SPELLINGS], "doc_id long, text string, source string")
+    rows = docs.select(F.explode(tx.distinct_terms(F.col("text"))).alias("term"), "doc_id")
+    return Engine(Corpus.of_documents(docs), rows, rows.select("term").distinct()).search_ids("ספר תורה", variants=True)
 
 
 PARSED = [
@@ -438,6 +450,32 @@ def _(spark, sf):
     return engine(spark, sf).interactive("the of | and is", skip=20, batch=50).select("id", "score", "word_distance")
 
 
+_BARE = r"regexp_replace({}, '<[^>]*(>|$)|\{{[א-ת]\}}', '', 'g')"
+_SHOWN = f"""{_W3},
+tops AS (SELECT doc_id, max(pos) AS top FROM tok GROUP BY doc_id),
+cut AS (SELECT id, span, word_distance, greatest(left_pos - 8, 0) AS a, least(right_pos + 8, top) AS b, top
+        FROM found JOIN tops ON doc_id = id WHERE word_distance <= 10),
+ends AS (SELECT id, span, word_distance, text, CASE WHEN a = 0 THEN 0 ELSE ta.raw_start END AS low,
+                CASE WHEN b = top THEN length(text)::INT ELSE tb.raw_end END AS high
+         FROM cut JOIN tok ta ON ta.doc_id = id AND ta.pos = a JOIN tok tb ON tb.doc_id = id AND tb.pos = b
+         JOIN documents d ON d.doc_id = id),
+hit AS (SELECT id, pos, raw_start, raw_end, text, lag(raw_end, 1, low) OVER (PARTITION BY id ORDER BY pos) AS before
+        FROM ends JOIN marked ON doc_id = id WHERE raw_end > low AND raw_start < high),
+body AS (SELECT id, max(raw_end) AS last, string_agg({_BARE.format("substr(text, before + 1, raw_start - before)")}
+                || '<mark>' || substr(text, raw_start + 1, raw_end - raw_start) || '</mark>', '' ORDER BY pos) AS shown
+         FROM hit GROUP BY id)
+SELECT id, CASE WHEN low > 0 THEN '…' ELSE '' END || shown || {_BARE.format("substr(text, last + 1, high - last)")}
+           || CASE WHEN high < length(text) THEN '…' ELSE '' END AS html, span AS score, word_distance
+FROM ends JOIN body USING (id)"""
+
+
+@query("snippet_near", _SHOWN)
+def _(spark, sf):
+    """Snippets of rows with at most ten words between."""
+    rows = engine(spark, sf).snippets("the of | and is").where("is_match AND word_distance <= 10")
+    return rows.select("id", "html", "score", "word_distance")
+
+
 @query("snippet_highlight")
 def _(spark, sf):
     return engine(spark, sf).snippets("the of | and is").select("id", "html", "score", "word_distance", "is_match")
@@ -485,12 +523,12 @@ looked_up("lex_fuzzy", "levenshtein(term, 'there') <= 2", lambda d: lexicon.fuzz
 looked_up("lex_enumerate", "true", lexicon.enumerate_all)
 looked_up("lex_reverse", "true", lambda d: lexicon.build(d.select("key", "value")), ", reverse(term) AS rkey")
 
-FRUIT = [("mop", 0), ("moth", 1), ("pop", 2), ("star", 3), ("stop", 4), ("top", 5)]
+WORDS = [("card", 0), ("care", 1), ("cat", 2), ("dare", 3), ("dot", 4), ("dote", 5)]
 
 
-@query("lex_trie_edges", "WITH k(key) AS (VALUES ('mop'), ('moth'), ('pop'), ('star'), ('stop'), ('top')) SELECT left(key, n - 1) AS node, key[n] AS label, left(key, n) AS next, bool_or(n = length(key)) AS final FROM k, unnest(range(1, length(key) + 1)) AS t(n) GROUP BY ALL")
+@query("lex_trie_edges", "WITH k(key) AS (VALUES ('card'), ('care'), ('cat'), ('dare'), ('dot'), ('dote')) SELECT left(key, n - 1) AS node, key[n] AS label, left(key, n) AS next, bool_or(n = length(key)) AS final FROM k, unnest(range(1, length(key) + 1)) AS t(n) GROUP BY ALL")
 def _(spark, sf):
-    return lexicon.trie_edges(fixture(spark, FRUIT, "key string, value int"))
+    return lexicon.trie_edges(fixture(spark, WORDS, "key string, value int"))
 
 
 AFFIXED = [("בית", 1), ("הבית", 2), ("ובבית", 3), ("ביתי", 4), ("בביתנו", 5), ("קבית", 6), ("ביתק", 7)]
@@ -505,11 +543,18 @@ def _(spark, sf):
 
 
 
-@query("morphology_strip_fixture", values([("והספרים", "ספר", "וה", "ים"), ("ספר", "ספר", "", ""), ("דבריכם", "דבר", "", "י כם")], "word, root, prefixes, suffixes"))
+MORPHOLOGY = [("והספרים", "ספר", "וה", "ים"), ("ספר", "ספר", "", ""), ("דבריכם", "דבר", "", "יכם")]
+
+
+@query("morphology_strip_fixture", values(MORPHOLOGY, "word, root, prefix, suffix"))
+def _(spark, sf):
+    return lexicon.morphology(fixture(spark, [(m[0],) for m in MORPHOLOGY], "word string"))
+
+
+@query("morphology_vocabulary", f"WITH {POST} SELECT term AS word, term AS root, '' AS prefix, '' AS suffix FROM vocab")
 def _(spark, sf):
-    words = ["והספרים", "ספר", "דבריכם"]
-    rows = [(w, r, " ".join(b), " ".join(a)) for w in words for r, b, a in [hebrew.strip_affixes(w)]]
-    return fixture(spark, rows, "word string, root string, prefixes string, suffixes string")
+    """Latin words have no Hebrew affixes."""
+    return lexicon.morphology(index(spark, sf).vocabulary().select(F.col("term").alias("word")))
 
 
 # --- life of an index
@@ -560,17 +605,27 @@ def _(spark, sf):
     return _counts(batches(spark, sf, "incremental", 3).merge(3).postings())
 
 
-@query("streaming_index", f"WITH {POST} SELECT term, df FROM vocab")
-def _(spark, sf):
+def _streamed(spark: SparkSession, sf: str, merge: bool) -> DataFrame:
     from loam.streaming.indexer import index_stream, read_lines
 
     root, inbox = scratch(spark, "stream"), scratch(spark, "inbox")
     documents(spark, sf).select("doc_id", "text").repartition(4).write.parquet(inbox)
-    run = index_stream(read_lines(spark, inbox, "doc_id", "text", 2), root, scratch(spark, "progress"))
-    run.awaitTermination()
+    lines_of = lambda: read_lines(spark, inbox, "doc_id", "text", 1)
+    index_stream(lines_of(), root, scratch(spark, "progress"), merge).awaitTermination()
+    index_stream(lines_of(), root, scratch(spark, "progress-lost"), merge).awaitTermination()  # replayed: adds nothing
     return Index.open(spark, root).vocabulary()
 
 
+@query("streaming_index", f"WITH {POST} SELECT term, df FROM vocab")
+def _(spark, sf):
+    return _streamed(spark, sf, False)
+
+
+@query("streaming_index_merged", f"WITH {POST} SELECT term, df FROM vocab")
+def _(spark, sf):
+    return _streamed(spark, sf, True)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

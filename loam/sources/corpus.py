@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Ids up to which a fetch broadcasts them: some tens of MB.
+BROADCAST_IDS = 1_000_000
+
+
 class CorpusNotFound(FileNotFoundError):
     """There is no readable corpus at the path."""
 
@@ -19,6 +23,8 @@ class Corpus:
 
     @staticmethod
     def read(spark: SparkSession, line_path: str, book_path: str) -> Corpus:
+        if not line_path or not book_path:
+            raise ValueError("a corpus needs the paths of its lines and of its books")
         try:
             return Corpus(spark.read.parquet(line_path), spark.read.parquet(book_path))
         except Exception as e:  # the path is checked by Spark when its schema is read
@@ -62,9 +68,17 @@ class Corpus:
         return rows.join(titles, "book_id", how).withColumn("title", F.coalesce("title", F.lit("")))
 
     def fetch(self, ids: DataFrame) -> DataFrame:
-        """(id, title, content) of the lines whose id is in ids (id); ids without a line are dropped."""
+        """(id, title, content) of the lines whose id is in ids (id); ids without a line are dropped. Ids that are counted
+        to be few go to where the contents lie; beyond that contents are shuffled by id."""
         rows = self.line.select("id", "book_id", F.coalesce("content", F.lit("")).alias("content"))
-        return self._titled(rows.join(ids.select("id"), "id", "left_semi")).select("id", "title", "content")
+        asked = ids.select("id").distinct()
+        asked = F.broadcast(asked) if asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else asked
+        return self._titled(rows.join(asked, "id", "left_semi")).select("id", "title", "content")
+
+    def fetch_listed(self, ids: list[int]) -> DataFrame:
+        """fetch of a few ids that are known: the filter reaches the scan."""
+        rows = self.line.where(F.col("id").isin(ids) if ids else F.lit(False))
+        return self._titled(rows.select("id", "book_id", F.coalesce("content", F.lit("")).alias("content"))).select("id", "title", "content")
 
     def fetch_titles(self, ids: DataFrame) -> DataFrame:
         """(id, title) by book and line; lines without a book are dropped, contents are not read."""

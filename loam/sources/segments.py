@@ -38,6 +38,17 @@ class Segment:
     batch: int = -1
 
 
+def with_batch(batches: tuple[tuple[int, int], ...], n: int) -> tuple[tuple[int, int], ...]:
+    """Ranges (first, last) of batch numbers with one more."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((*batches, (n, n))):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return tuple(out)
+
+
 class Store:
     """Files of an index through Hadoop's file system, so that any path Spark writes will do."""
 
@@ -78,28 +89,45 @@ class Store:
 
 
 class Index:
-    """A version of an index: readers keep theirs, writers return the next."""
+    """A version of an index: readers keep theirs, writers return the next. batches: the ranges of batch numbers that were
+    ever added, whatever became of their segments."""
 
-    def __init__(self, spark: SparkSession, root: str, version: int = 0, segments: tuple[Segment, ...] = ()):
-        self.spark, self.store, self.version, self.segments = spark, Store(spark, root), version, segments
+    def __init__(self, spark: SparkSession, root: str, version: int = 0, segments: tuple[Segment, ...] = (), batches: tuple[tuple[int, int], ...] = ()):
+        self.spark, self.store, self.version, self.segments, self.batches = spark, Store(spark, root), version, segments, batches
 
     @staticmethod
     def open(spark: SparkSession, root: str) -> Index:
+        """The newest version; CorruptIndex if files that it names are missing."""
+        if not root:
+            raise ValueError("an index needs a path")
         store = Store(spark, root)
         versions = sorted(int(n[9:-5]) for n in store.names() if n.startswith("manifest-") and n.endswith(".json"))
         if not versions:
             return Index(spark, root)
-        rows = json.loads(store.read(f"manifest-{versions[-1]:08d}.json"))
-        found = Index(spark, root, versions[-1], tuple(Segment(**{**r, "deletes": tuple(r["deletes"])}) for r in rows))
+        kept = json.loads(store.read(f"manifest-{versions[-1]:08d}.json"))
+        segments = tuple(Segment(**{**r, "deletes": tuple(r["deletes"])}) for r in kept["segments"])
+        found = Index(spark, root, versions[-1], segments, tuple((a, b) for a, b in kept["batches"]))
         for s in found.segments:
             for name in (s.name, f"{s.name}-terms", *s.deletes):
                 if not store.exists(name):
                     raise CorruptIndex(f"{root}: {name} is missing")
         return found
 
-    def _publish(self, segments: tuple[Segment, ...]) -> Index:
+    @staticmethod
+    def open_or_restart(spark: SparkSession, root: str) -> Index:
+        """The newest version, or, if it is corrupt, an empty index after all of its files are removed: it is built anew."""
+        try:
+            return Index.open(spark, root)
+        except CorruptIndex:
+            store = Store(spark, root)
+            for name in store.names():
+                store.delete(name)
+            return Index(spark, root)
+
+    def _publish(self, segments: tuple[Segment, ...], batches: tuple[tuple[int, int], ...] | None = None) -> Index:
         version = self.version + 1
-        text = json.dumps([asdict(s) for s in sorted(segments, key=lambda s: (s.min_doc, s.name))])
+        segments = sorted(segments, key=lambda s: (s.min_doc, s.name))
+        text = json.dumps({"segments": [asdict(s) for s in segments], "batches": self.batches if batches is None else batches})
         if not self.store.create(f"manifest-{version:08d}.json", text):
             raise IndexBusy(f"{self.store.root}: version {version} exists")
         return Index.open(self.spark, self.store.root)
@@ -123,11 +151,22 @@ class Index:
         return (Segment(name, level, low, high, (), batch),)
 
     def add(self, lines: DataFrame, batch: int = -1) -> Index:
-        """Indexes lines (id, content) as a new segment. A batch number that is already there is not added again."""
-        if batch >= 0 and any(s.batch == batch for s in self.segments):
+        """Indexes lines (id, content) as a new segment. A batch number that was added before is not added again, also when
+        its segment was merged or purged since, or when it had no terms."""
+        if batch >= 0 and any(a <= batch <= b for a, b in self.batches):
             return self
         postings = lines.select(F.explode(distinct_terms(F.col("content"))).alias("term"), F.col("id").alias("doc_id"))
-        return self._publish(self.segments + self._write(postings, 0, batch))
+        return self._publish(self.segments + self._write(postings, 0, batch), with_batch(self.batches, batch) if batch >= 0 else None)
+
+    def progress(self) -> dict:
+        """What a build needs to go on: the last id, the batches that are in, the version, segments and documents' range."""
+        low = min((s.min_doc for s in self.segments), default=None)
+        return {"resume_id": self.resume_id(), "batches": list(self.batches), "version": self.version, "segments": len(self.segments), "min_doc": low}
+
+    def files(self) -> DataFrame:
+        """(name, live) of everything in the index's folder; live: this version names it."""
+        named = {n for s in self.segments for n in (s.name, f"{s.name}-terms", *s.deletes)} | {f"manifest-{self.version:08d}.json"}
+        return self.spark.createDataFrame([(n, n in named) for n in sorted(self.store.names())], "name string, live boolean")
 
     def resume_id(self) -> int:
         """The last id that is indexed, -1 for none."""
@@ -192,7 +231,7 @@ class Index:
         now = self
         while levels := [n for n in sorted({s.level for s in now.segments}) if sum(s.level == n for s in now.segments) >= fan_out]:
             old = [s for s in now.segments if s.level == levels[0]]
-            rows = Index(now.spark, now.store.root, now.version, tuple(old)).postings()
+            rows = Index(now.spark, now.store.root, now.version, tuple(old), now.batches).postings()
             kept = tuple(s for s in now.segments if s.level != levels[0])
             now = now._publish(kept + now._write(rows, levels[0] + 1))
         return now
@@ -215,7 +254,8 @@ class Index:
 
 
 class Lock:
-    """One writer at a time: a file that only one can create."""
+    """One writer at a time: a file that only one can create, where renaming a file fails if the name is taken (as on HDFS;
+    an object store needs a lock of its own)."""
 
     def __init__(self, store: Store):
         self.store = store

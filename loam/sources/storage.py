@@ -15,6 +15,9 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir), or in a temporary one if it is unset."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, in a temporary one
+    on a local master, which is one machine; an error on any other."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(shared or _own_folder()).rstrip('/')}/loam-index/{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions.hebrew import strip_affixes, strip_prefixes
 from loam.operators import lexicon, matching
 from loam.operators.search import Engine, register
 from loam.sources.corpus import Corpus, CorpusNotFound
@@ -93,7 +94,8 @@ def test_corpus_not_found(spark):
 
 def test_lexicon(spark):
     rows = spark.createDataFrame([("mop", 0), ("moth", 1), ("pop", 2), ("star", 3), ("stop", 4), ("top", 5), ("", 6)], "key string, value long")
-    built = lexicon.build(rows, scratch(spark, "lexicon"))
+    path = scratch(spark, "lexicon")
+    built = lexicon.build(rows, path)
     keys = lambda df: sorted(r.key for r in df.collect())
     assert keys(lexicon.starts_with(built, "mo")) == ["mop", "moth"]
     assert keys(lexicon.ends_with(built, "op")) == ["mop", "pop", "stop", "top"]
@@ -105,4 +107,69 @@ def test_lexicon(spark):
         lexicon.build(rows.union(rows))
     words = spark.createDataFrame([("בית", 1), ("הבית", 2), ("קבית", 3)], "key string, value long")
     assert keys(lexicon.affixed(words, "בית")) == ["בית", "הבית"]
-    assert words.select(lexicon.strip_column(F.lit("וספר")).alias("w")).first().w == "ספר"
+    assert keys(lexicon.affixed(words, "בית", strict=True)) == []  # its own end is a suffix
+    assert keys(lexicon.affixed(words, "בית", after=False, strict=True)) == [w for w in ("בית", "הבית") if strip_prefixes(w)[0] == "בית"]
+    assert keys(lexicon.ends_with(spark.read.parquet(path + "-reversed"), "op")) == ["mop", "pop", "stop", "top"]
+
+
+def test_morphology_equals_the_scalar(spark):
+    random.seed(8)
+    words = ["".join(random.choices("והבכלמשתינרספדם", k=random.randint(0, 9))) for _ in range(400)]
+    rows = spark.createDataFrame([(w,) for w in [*words, None]], "word string")
+    for r in lexicon.morphology(rows).collect():
+        if r.word is None:
+            assert (r.root, r.prefix, r.suffix) == (None, None, None)
+        else:
+            root, before, after = strip_affixes(r.word)
+            assert (r.root, r.prefix, r.suffix) == (root, "".join(before), "".join(after))
+
+
+def test_batches_are_added_once(spark):
+    """Replayed after a merge, after a purge that leaves nothing, and when empty."""
+    now = Index(spark, scratch(spark, "once"))
+    for i in (1, 2, 3, 4):
+        now = now.add(frame(spark, {i: DOCS[i]}), i)
+    now = now.add(frame(spark, {20: "1 2 3"}), 5).merge()
+    assert [s.level for s in now.segments] == [1] and now.batches == ((1, 5),)
+    before = now.postings().count()
+    for i in (1, 2, 3, 4, 5):
+        now = now.add(frame(spark, {i: DOCS[i]}), i)
+    assert now.postings().count() == before and now.version == Index.open(spark, now.store.root).version
+    now = now.delete(spark.createDataFrame([(i,) for i in DOCS], "id long"))[0].purge()
+    assert now.segments == () and now.add(frame(spark, {2: DOCS[2]}), 2) is now
+    assert now.add(frame(spark, {9: "sky"}), 9).progress()["batches"] == [(1, 5), (9, 9)]
+    assert {r.name for r in Index.open(spark, now.store.root).files().where("live").collect()} >= {"manifest-00000009.json"}
+
+
+def test_a_corrupt_index_starts_anew(spark):
+    now = Index(spark, scratch(spark, "anew")).add(frame(spark, DOCS), 0)
+    now.store.delete(now.segments[0].name)
+    again = Index.open_or_restart(spark, now.store.root)
+    assert again.version == 0 and again.store.names() == []
+    assert again.add(frame(spark, DOCS), 0).resume_id() == 5
+    with pytest.raises(ValueError):
+        Index.open(spark, "")
+
+
+def test_contents_are_not_shuffled(spark, sf):
+    from loam import registry
+
+    e = registry.engine(spark, sf)
+    for df in (e.corpus.fetch(e.search_ids("the of").withColumnRenamed("doc_id", "id")), e.proximity("the of"), e.snippets("the of")):
+        df.write.format("noop").mode("overwrite").save()
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        for line in physical.splitlines():
+            assert not ("Exchange hashpartitioning" in line and "content" in line), physical
+
+
+def test_pages(spark):
+    docs = {i: f"{'sky ' * (i % 3)}{'far ' * (i % 17)}day" for i in range(300)}
+    rows = spark.createDataFrame([(i, t, "s") for i, t in docs.items()], "doc_id long, text string, source string")
+    corpus = Corpus.of_documents(rows)
+    now = Index(spark, scratch(spark, "pages")).add(corpus.line.select("id", "content"))
+    engine = Engine(corpus, now.postings(), now.vocabulary())
+    near = [i for i in docs if i % 3 and i % 17 <= 2]
+    for skip, batch in ((0, 5), (7, 10), (0, 200), (len(near) - 1, 9), (500, 5)):
+        got = engine.interactive("sky day", most=2, ordered=True, skip=skip, batch=batch, mark=("[", "]")).collect()
+        assert [r.id for r in got] == near[skip : skip + batch]
+        assert all(r.html.endswith("[day]") for r in got)

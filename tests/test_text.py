@@ -1,12 +1,14 @@
 """The native tokeniser equals the scalar scanner; places and snippets; proximity equals a brute-force window."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
-from loam.functions.scanner import positional_tokens, scan
+from loam.functions.scanner import hits, positional_tokens, scan
 from loam.operators import proximity
 from loam.operators.snippets import in_order, snippet, tightest
 from loam.plans.expand import Plan
@@ -21,8 +23,6 @@ def test_cases(html, terms):
 
 
 def test_native_equals_scanner(spark):
-    import random
-
     random.seed(3)
     texts = ["".join(random.choices(BITS, k=random.randint(0, 25))) for _ in range(3000)] + ["", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -30,6 +30,26 @@ def test_native_equals_scanner(spark):
         assert list(r.x) == [t.term for t in scan(r.t)], repr(r.t)
 
 
+@pytest.mark.parametrize("n", [10, 1_000, 1_000_000])
+@pytest.mark.parametrize("one", ["a", "ָ", '"', "&amp;", "&", "<b>", "אa", 'a"', "aָ", "a&lt;", " "])
+def test_words_and_runs_of_any_length(spark, one, n):
+    text = f"ab{one * n}cd ef"
+    got = spark.createDataFrame([(text,)], "t string").select(tx.tokens(F.col("t")).alias("x")).first().x
+    assert got == [t.term for t in scan(text)]
+
+
+def test_plain_texts(spark):
+    random.seed(6)
+    texts = ["".join(random.choices(["a", "B", "the", " ", ",", ".", "א", "é", "5", "\n", "x" * 15, "😀"], k=random.randint(0, 40))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", tx.tokens(F.col("t")).alias("x"), F.expr(tx.tokens_sql("t")).alias("y")).collect():
+        slow = scan(r.t + "<b>")
+        assert list(r.x) == list(r.y) == [t.term for t in scan(r.t)] == [t.term for t in slow]
+        assert scan(r.t) == slow
+        slots = {"the": 0, "b": 1, "thea": 1}
+        assert hits(r.t, slots) == hits(r.t + "<b>", slots) == [(i, slots[t.term], t.start, t.end) for i, t in enumerate(slow) if t.term in slots]
+
+
 @given(st.lists(st.sampled_from(BITS), max_size=30).map("".join))
 def test_places(text):
     last = 0
@@ -111,6 +131,8 @@ def test_window_equals_scanner_window(spark, words):
     slots = [["aa"], ["bb", "cc"], ["dd", "aa"]]
     tokens = positional_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     got = proximity.windows(tokens, Plan(slots, 3)).collect()
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.asDict() for r in proximity.windows_of_rows(rows, Plan(slots, 3), "doc_id", "text").collect()] == [r.asDict() for r in got]
     slot_of = Plan(slots, 3).slot_of()
     want = tightest(scan(text), slot_of, 3)
     assert bool(got) == bool(want)
