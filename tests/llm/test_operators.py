@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy; nulls, empty tables, repeats, odd columns."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -113,9 +114,12 @@ def test_flac_round_trip_and_damage():
     payloads = [flac.payload_of(t) for t in ["", None, "x", "é" * 5000, "ab" * 40, "".join(map(chr, random.choices(range(1, 255), k=9000)))]]
     media = flac.encode_streams(payloads)
     assert [(x + 128).astype(np.uint8).tobytes() for x in flac.decode_streams(media)] == payloads
-    for at in (len(media[3]) - 1, len(media[3]) // 2, 70):
+    for at in (len(media[3]) - 1, len(media[3]) // 2, 30, 70, 79):  # frames, the MD5, a seek point's sample and offset
         bad = bytearray(media[3])
         bad[at] ^= 4
+        if at == 70:  # a seek table that names not every frame is not needed
+            assert (flac.decode_streams([bytes(bad)])[0] + 128).astype(np.uint8).tobytes() == payloads[3]
+            continue
         with pytest.raises(flac.FlacError):
             flac.decode_streams([bytes(bad)])
 
@@ -198,6 +202,92 @@ def test_flac_decodes_other_writers(kind, depth):
     assert flac.decode_streams([by_hand(samples, kind, depth)])[0].tolist() == samples
 
 
+def without_seek_table(stream):
+    return stream[:4] + b"\x80" + stream[5:42] + stream[flac.Stream(stream).frames :]
+
+
+def test_flac_finds_frames_without_seek_points():
+    random.seed(5)
+    payloads = [flac.payload_of("".join(map(chr, random.choices([*range(97, 123), 32, 255], k=k)))) for k in (0, 63, 5000, 200_000)]
+    payloads.append(bytes(random.choices([0xFF, 0xF8, 0xF9, 0x70, 0], k=6400)))  # looks like headers
+    bare = [without_seek_table(m) for m in flac.encode_streams(payloads)]
+    assert [(x + 128).astype(np.uint8).tobytes() for x in flac.decode_streams(bare)] == payloads
+    blocks = flac.stream_blocks(bare)[3]
+    assert [b.sample_offset for b in blocks] == list(range(0, len(payloads[3]), flac.BLOCK)) and len(blocks) > 128
+    for b in blocks[:-1]:
+        assert bare[3][b.byte_offset : b.byte_offset + 2] == b"\xff\xf8"
+    unknown = bytearray(bare[3])
+    unknown[21] &= 0xF0  # no total, no MD5
+    unknown[22:42] = bytes(20)
+    assert len(flac.decode_streams([bytes(unknown)])[0]) == len(payloads[3])
+    info = flac.Stream(bare[3])
+    first, second = (blocks[i].byte_offset for i in (1, 2))
+    for bad in (bare[3][: info.frames] + bare[3][first:], bare[3][:first] + bare[3][second:], bare[3][:-700], bare[3] + b"tail"):
+        with pytest.raises(flac.FlacError):
+            flac.decode_streams([bad])
+
+
+@pytest.mark.parametrize("code", [1, 8, 9, 10])
+@pytest.mark.parametrize("depth", [8, 24])
+def test_flac_decodes_stereo(code, depth):
+    random.seed(code)
+    left, right = ([random.randint(-(1 << depth - 1), (1 << depth - 1) - 1) for _ in range(32)] for _ in range(2))
+    side = [a - b for a, b in zip(left, right, strict=True)]
+    first, second = {1: (left, right), 8: (left, side), 9: (side, right), 10: ([a + b >> 1 for a, b in zip(left, right, strict=True)], side)}[code]
+    head = b"\xff\xf8" + bytes([0x60, code << 4 | {8: 2, 24: 12}[depth]]) + b"\x00" + bytes([31])
+    w = Writer()
+    for b in (*head, crc(head, 0x07, 8)):
+        w.put(b, 8)
+    for values, extra in ((first, code == 9), (second, code in (8, 10))):
+        w.put(1 << 1, 8)
+        for x in values:
+            w.put(x, depth + extra)
+    body = w.data()
+    body += struct.pack(">H", crc(body, 0x8005, 16))
+    raw = b"".join(x.to_bytes(depth // 8, "little", signed=True) for pair in zip(left, right, strict=True) for x in pair)
+    info = struct.pack(">HH", 32, 32) + bytes(6) + (8000 << 44 | 1 << 41 | (depth - 1) << 36 | 32).to_bytes(8, "big") + hashlib.md5(raw).digest()
+    got = flac.decode_streams([b"fLaC\x80" + len(info).to_bytes(3, "big") + info + body])[0]
+    assert got.tolist() == [list(pair) for pair in zip(left, right, strict=True)]
+
+
+def test_flac_encoder_uses_predictors_and_partitions():
+    x = np.concatenate([np.round(100 * np.sin(np.arange(1024) / 9)), np.random.default_rng(1).integers(-3, 3, 512), np.random.default_rng(2).integers(-100, 100, 512)])
+    stream = flac.encode_streams([(x.astype(np.int64) + 128).astype(np.uint8).tobytes()])[0]
+    assert flac.decode_streams([stream])[0].tolist() == x.tolist()
+    at = [b.byte_offset for b in flac.stream_blocks([stream])[0]]
+    assert stream[at[0] + 8] >> 1 == 31 + flac.ORDER  # a linear predictor
+    kind = stream[at[1] + 8] >> 1
+    bits = int.from_bytes(stream[at[1] + 9 : at[1] + 29], "big")
+    warm = 8 * (kind - 8) if kind < 32 else 8 * flac.ORDER + 9 + flac.ORDER * flac.PRECISION
+    assert bits >> (160 - warm - 6) & 63 == flac.PARTS  # eight partitions
+
+
+def test_flac_query(spark, sf, folder):
+    """Every column against hashes of the payload made here and a reading of the stored stream."""
+    for path in (sf, folder["odd"]):
+        texts = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()
+        media = {r.text: r.media for r in flac.store_texts(spark.read.parquet(f"{path}/documents.parquet")).select("text", "media").collect()}
+        want = []
+        for r in texts:
+            raw = (r.text or "").encode()
+            payload = raw + bytes((-len(raw)) % 64) if raw else bytes(64)
+            x = np.frombuffer(payload, np.uint8).astype(int) - 128
+            m = media[r.text]
+            feature = {"samples": len(x), "mean": round(float(x.mean()), 6), "rms": round(math.sqrt((x * x).mean()), 6), "peak": int(abs(x).max()), "crossings": int(((x[1:] < 0) != (x[:-1] < 0)).sum())}
+            blocks = -(-len(payload) // flac.BLOCK)
+            sums = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest())
+            want.append((r.doc_id, len(raw), len(payload), *sums, feature, blocks))
+            assert flac.Stream(m).md5 == hashlib.md5((x.astype(np.int8)).tobytes()).digest()
+        got = [(*r[:7], json.loads(r.feature), r.n_blocks) for r in queries.queries()["op2_flac"](spark, path).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_flac_of_a_text_of_many_megabytes():
+    payload = flac.payload_of("All work and no play. " * 300_000)
+    (stream,) = flac.encode_streams([payload])
+    assert (flac.decode_streams([stream])[0] + 128).astype(np.uint8).tobytes() == payload
+
+
 def test_pcm_blocks(spark):
     text = "The quick brown fox. " * 300
     df = flac.store_texts(frame(spark, [(1, text), (2, None)]))
