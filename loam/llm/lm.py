@@ -5,10 +5,12 @@
 Counts are of the training documents. The weights are learned by expectation-maximisation: a tenth of the training
 documents is deleted from the counts, and its bigrams are the held-out events.
 
-How it runs. Documents are packed into blocks of some tens of MB, written once: each has the sorted distinct word hashes
-and every document's words as places among them. A block sends each count reducer its distinct words and bigrams (hashes,
-sorted, with their counts), packed; so a word sends one entry a block however common it is. Reducers own a range of the
-hash space, add up the counts, and send each block its own entries' counts back. Blocks then score their documents.
+How it runs. Documents are packed into blocks of some MB, written once: each has the sorted distinct word hashes and every
+document's words as places among them; some blocks of a task are a group. A group sends each count reducer its blocks'
+distinct words and bigrams (hashes, sorted, with their counts) as one packed message; so a word sends one entry a block
+however common it is. Reducers own a range of the hash space, add up the counts, and answer each message with its own
+entries' counts. Groups then score their documents, block by block. As in any shuffle, there are at most groups times
+reducers messages, and never more than entries; a message's own cost is some tens of bytes.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import crc_mod, lean, table, written
+from loam.llm.common import crc_mod, lean, scope, table, written
 from loam.llm.ngrams import mix, pieces, text_bytes, word_hashes
 
 #: Bytes of text in a block (a single longer document is a block of its own).
 BLOCK = 10_000_000
+#: Blocks of a group, which send and get counts together: bounds what a task holds of them.
+GROUP = 4
 #: Bytes of packed hashes that one count reducer aims at.
 REDUCER = 16_000_000
+#: Bytes below which packed numbers are not compressed.
+FEW = 100
 #: What stands for a document's beginning and end among word hashes.
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Context-frequency buckets (powers of two), cells of the events' likelihood ratio (eighths of a power of two), EM steps.
@@ -37,19 +43,22 @@ BUCKETS, CELLS, STEPS = 40, 1024, 60
 
 
 def pack(x: np.ndarray, sorted_values: bool = False) -> bytes:
-    """Unsigned integers as bytes, plane by plane, compressed; sorted ones as differences."""
+    """Unsigned integers as bytes, plane by plane, compressed unless they are few; those in (several) sorted runs as
+    differences."""
     x = np.ascontiguousarray(x)
     if sorted_values and len(x):
         x = np.diff(x, prepend=np.zeros(1, x.dtype))
     planes = x.view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else np.zeros((x.itemsize, 0), np.uint8)
-    return struct.pack("<BBQ", x.itemsize, sorted_values, len(x)) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    raw = planes.tobytes()
+    few = len(raw) < FEW
+    return struct.pack("<BBI", x.itemsize, sorted_values | few << 1, len(x)) + (raw if few else zstandard.ZstdCompressor(level=1).compress(raw))
 
 
 def unpack(b: bytes) -> np.ndarray:
-    size, differences, n = struct.unpack_from("<BBQ", b)
-    raw = zstandard.ZstdDecompressor().decompress(b[10:], max_output_size=n * size) if n else b""
+    size, flags, n = struct.unpack_from("<BBI", b)
+    raw = b[6:] if flags & 2 else zstandard.ZstdDecompressor().decompress(b[6:], max_output_size=n * size)
     x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<u{size}").ravel()
-    return np.cumsum(x, dtype=x.dtype) if differences else x
+    return np.cumsum(x, dtype=x.dtype) if flags & 1 else x
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -63,9 +72,9 @@ def bigrams(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, ids, parts, sizes, words, stream): the keys and training parts of a block's documents (part 0: not for
+    """(group, block, ids, parts, sizes, words, stream): the keys and training parts of a block's documents (part 0: not for
     training, 1: held out for the weights, 2: counted), their numbers of words, the distinct word hashes, and all words
-    as places among these. The number of a block is that of its task and its place there."""
+    as places among these. The number of a block is that of its task and its place there, a group's that of its first block."""
     id_type = pa.list_(pa.int64())
     columns = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.col("part").cast("int"), F.spark_partition_id().alias("task"))
 
@@ -81,6 +90,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
             words, stream = np.unique(h, return_inverse=True)
             return pa.RecordBatch.from_arrays(
                 [
+                    pa.array([task << 32 | made - made % GROUP], pa.int64()),
                     pa.array([task << 32 | made], pa.int64()),
                     pa.array([ids], id_type),
                     pa.array([np.concatenate(parts).astype(np.uint8).tobytes()], pa.binary()),
@@ -88,7 +98,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                     pa.array([pack(words, True)], pa.binary()),
                     pa.array([pack(narrow(stream))], pa.binary()),
                 ],
-                ["block", "ids", "parts", "sizes", "words", "stream"],
+                ["group", "block", "ids", "parts", "sizes", "words", "stream"],
             )
 
         for batch in batches:
@@ -107,7 +117,7 @@ def make_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if ids:
             yield block()
 
-    return columns.mapInArrow(lean(run), "block long, ids array<long>, parts binary, sizes binary, words binary, stream binary")
+    return columns.mapInArrow(lean(run), "group long, block long, ids array<long>, parts binary, sizes binary, words binary, stream binary")
 
 
 class Block:
@@ -149,31 +159,62 @@ class Block:
                 yield 0, self.words[order], counts[0][order], counts[1][order]
 
 
+MESSAGE = "reducer int, group long, kind int, blocks array<long>, sizes array<int>"
+
+
+def message_batch(rows: list[tuple], binaries: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * len(binaries)]
+    names = ["reducer", "group", "kind", "blocks", "sizes", *binaries]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
 def send_entries(blocks: DataFrame, reducers: int) -> DataFrame:
-    """(reducer, block, kind, hashes, held, counted): each block's entries by range of the hash, packed."""
+    """(reducer, group, kind, blocks, sizes, hashes, held, counted): each group's entries by range of the hash, packed, its
+    blocks' one after another, with the number of each block's."""
     step = (1 << 64) // reducers + 1
+    limits = np.array([k * step for k in range(1, reducers)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, names = None, []
+        held_back: dict[int, list[tuple]] = {0: [], 1: []}
+
+        def messages() -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            for kind, found in held_back.items():
+                cuts = [[0, *np.searchsorted(x[0], limits), len(x[0])] for x in found]
+                for r in range(reducers):
+                    spans = [(i, slice(c[r], c[r + 1])) for i, c in enumerate(cuts) if c[r + 1] > c[r]]
+                    if spans:
+                        whole = [np.concatenate([found[i][c][own] for i, own in spans]) for c in range(3)]
+                        sizes = [own.stop - own.start for _, own in spans]
+                        out.append((r, group, kind, [names[i] for i, _ in spans], sizes, pack(whole[0], True), pack(narrow(whole[1])), pack(narrow(whole[2]))))
+                        if len(out) == 64:
+                            yield message_batch(out, ["hashes", "held", "counted"])
+                            out = []
+                found.clear()
+            if out:
+                yield message_batch(out, ["hashes", "held", "counted"])
+            names.clear()
+
         for batch in batches:
-            for row in batch.to_pylist():
-                out: list[tuple] = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if names and row["group"] != group:
+                    yield from messages()
+                group = row["group"]
+                names.append(row["block"])
                 for kind, hashes, held, counted in Block(row).entries():
-                    cuts = np.searchsorted(hashes, np.array([k * step for k in range(1, reducers)], dtype=np.uint64))
-                    for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(hashes)], strict=True)):
-                        if b > a:
-                            out.append((r, row["block"], kind, pack(hashes[a:b], True), pack(narrow(held[a:b])), pack(narrow(counted[a:b]))))
-                for k in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out[k : k + 64], strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                        ["reducer", "block", "kind", "hashes", "held", "counted"],
-                    )
+                    held_back[kind].append((hashes, narrow(held), narrow(counted)))
+        if names:
+            yield from messages()
 
-    return blocks.mapInArrow(lean(run), "reducer int, block long, kind int, hashes binary, held binary, counted binary")
+    return blocks.mapInArrow(lean(run), f"{MESSAGE}, hashes binary, held binary, counted binary")
 
 
 def add_counts(sent: DataFrame, reducers: int) -> DataFrame:
-    """(reducer, block, kind, held, counted): all blocks' counts of each block's entries, in its order; and for block -1
-    one row a reducer and kind 0 with the number of distinct training words and of training tokens of its range."""
+    """(reducer, group, kind, blocks, sizes, held, counted): all documents' counts of each message's entries, in its order;
+    and for group -1 one row a reducer and kind 0 with the number of distinct training words and of training tokens of its
+    range."""
 
     def run(data: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -182,41 +223,49 @@ def add_counts(sent: DataFrame, reducers: int) -> DataFrame:
             rows = data.filter(pa.compute.equal(data.column("kind"), kind)).to_pylist()
             if not rows:
                 continue
-            hashes = [unpack(r["hashes"]) for r in rows]
+            hashes = [unpack(r.pop("hashes")) for r in rows]
+            ends = np.cumsum([len(h) for h in hashes]).tolist()
             flat, where = np.unique(np.concatenate(hashes), return_inverse=True)
+            del hashes
             sums = []
             for name in ("held", "counted"):
-                x = np.concatenate([unpack(r[name]).astype(np.int64) for r in rows])
+                x = np.concatenate([unpack(r.pop(name)).astype(np.int64) for r in rows])
                 sums.append(np.bincount(where, x, minlength=len(flat)).astype(np.int64))
-            at = 0
-            for r, h in zip(rows, hashes, strict=True):
-                own = where[at : at + len(h)]
-                at += len(h)
-                out.append((reducer, r["block"], kind, pack(narrow(sums[0][own])), pack(narrow(sums[1][own]))))
+            for r, a, b in zip(rows, [0, *ends], ends, strict=False):
+                own = where[a:b]
+                out.append((reducer, r["group"], kind, r["blocks"], r["sizes"], pack(narrow(sums[0][own])), pack(narrow(sums[1][own]))))
             if not kind:
                 real = flat != BEGIN
                 known = int(((sums[0] + sums[1] > 0) & real).sum())
                 counts = [np.array([known, int(s[real].sum())], dtype=np.uint64) for s in sums]
-                out.append((reducer, -1, 0, pack(counts[0]), pack(counts[1])))
-        names = ("reducer", "block", "kind", "held", "counted")
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out.append((reducer, -1, 0, [], [], pack(counts[0]), pack(counts[1])))
+        return pa.Table.from_batches([message_batch(out, ["held", "counted"])])
 
-    return sent.groupBy("reducer").applyInArrow(run, "reducer int, block long, kind int, held binary, counted binary")
+    return sent.groupBy("reducer").applyInArrow(run, f"{MESSAGE}, held binary, counted binary")
 
 
-def with_counts(block: Block, answers: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def counts_of_blocks(answers: list[dict]) -> dict[int, list[list[np.ndarray]]]:
+    """For each block the [held, counted] counts of its entries of kind 0 and of kind 1, in the order in which it sent them,
+    as narrow integers."""
+    found: dict[int, list] = {}
+    for r in sorted(answers, key=lambda r: (r["reducer"], r["kind"])):
+        cuts = np.cumsum(r["sizes"])[:-1]
+        for block, held, counted in zip(r["blocks"], np.split(unpack(r["held"]), cuts), np.split(unpack(r["counted"]), cuts), strict=True):
+            own = found.setdefault(block, [([], []), ([], [])])[r["kind"]]
+            own[0].append(held)
+            own[1].append(counted)
+    return {b: [[np.concatenate(x) if x else np.zeros(0, np.uint8) for x in kind] for kind in kinds] for b, kinds in found.items()}
+
+
+def with_counts(block: Block, counts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The block's [held, counted] counts of its words' places, and of its pairs."""
-    out = []
-    for kind in (0, 1):
-        rows = sorted((r for r in answers if r["kind"] == kind), key=lambda r: r["reducer"])
-        out.append([np.concatenate([unpack(r[name]).astype(np.int64) for r in rows]) for name in ("held", "counted")])
+    word, pair = ([x.astype(np.int64) for x in kind] for kind in counts)
     order = np.argsort(block.words, kind="stable")
     for k in (0, 1):
-        x = np.empty_like(out[0][k])
-        x[order] = out[0][k]
-        out[0][k] = x
-    return out[0], out[1]
+        x = np.empty_like(word[k])
+        x[order] = word[k]
+        word[k] = x
+    return word, pair
 
 
 def frequency_bucket(c: np.ndarray) -> np.ndarray:
@@ -234,12 +283,17 @@ class Model:
 
 
 def joined(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    """run(block row, answer rows) for each block, as tables of the schema."""
+    """run(block, its counts) for each block, as tables of the schema; a group's blocks one after another."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left.to_pylist()[0], right.to_pylist()) if left.num_rows else run(None, [])
+        counts = counts_of_blocks(right.to_pylist())
+        made = []
+        for i in range(left.num_rows):
+            row = left.slice(i, 1).to_pylist()[0]
+            made.append(run(Block(row), counts.pop(row["block"])))
+        return pa.concat_tables(made) if made else run(None, None)
 
-    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(both, schema)
+    return blocks.groupBy("group").cogroup(answers.where("group >= 0").groupBy("group")).applyInArrow(both, schema)
 
 
 def learn_weights(blocks: DataFrame, answers: DataFrame, model: Model) -> np.ndarray:
@@ -247,11 +301,10 @@ def learn_weights(blocks: DataFrame, answers: DataFrame, model: Model) -> np.nda
     two estimates, so events are counted by bucket and cell of that ratio, summed over all blocks, and EM runs on that
     table of a fixed size. Events whose context was not counted have no bigram estimate and no weight."""
 
-    def run(row: dict | None, answer: list[dict]) -> pa.Table:
+    def run(b: Block | None, counts: list | None) -> pa.Table:
         cells = np.zeros(BUCKETS * CELLS, dtype=np.int64)
-        if row is not None:
-            b = Block(row)
-            (_, word), (_, pair) = with_counts(b, answer)
+        if b is not None:
+            (_, word), (_, pair) = with_counts(b, counts)
             event = np.flatnonzero(b.part == 1)
             context = word[b.before[event]]
             event, context = event[context > 0], context[context > 0]
@@ -281,27 +334,32 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Whole texts; counts and statistics over all documents. Null and empty texts are one end token. Repeated rows are each
     scored (and counted), null keys too. Without training documents N is 0 and every score is the base. An empty table
-    gives no rows. Other columns are not read. The key must be an integer.
+    gives no rows. Texts of any length are read whole. Other columns are not read, whatever their names. The key must be an
+    integer.
     """
+    with scope():
+        return written(_scored(docs, key, text), "lm-scores", keep=True)
+
+
+def _scored(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     blocks = written(make_blocks(docs, key, text), "lm-blocks")
     size = blocks.agg(F.sum(F.length("stream") + F.length("words"))).first()[0] or 0
     reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, int(3 * size // REDUCER), 1)
     answers = written(add_counts(send_entries(blocks, reducers), reducers), "lm-counts")
     totals = np.zeros(3, dtype=np.int64)
-    for r in answers.where("block < 0").select("held", "counted").toLocalIterator():  # one row a reducer
+    for r in answers.where("group < 0").select("held", "counted").toLocalIterator():  # one row a reducer
         held, counted = unpack(r["held"]), unpack(r["counted"])
         totals += np.array([counted[1], held[1], held[0]], dtype=np.int64)
     model = Model(*(int(x) for x in totals))
     model.weights = learn_weights(blocks, answers, model)
     train_tokens = model.counted + model.held
 
-    def run(row: dict | None, answer: list[dict]) -> pa.Table:
-        if row is None:
+    def run(b: Block | None, counts: list | None) -> pa.Table:
+        if b is None:
             columns = [[], np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)]
         else:
-            b = Block(row)
-            (w1, w2), (p1, p2) = with_counts(b, answer)
+            (w1, w2), (p1, p2) = with_counts(b, counts)
             word, pair = w1 + w2, p1 + p2
             base = model.base(word[b.token], train_tokens)
             context = word[b.before]
