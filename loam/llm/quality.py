@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import crc_mod, lean, small, table, written
+from loam.llm.common import BROADCAST_ROWS, crc_mod, lean, scope, table, written
 from loam.llm.ngrams import gram_hashes, pieces, text_bytes, word_hashes
+from loam.llm.urls import block_words, build_filter
 
 #: Buckets of each kind of n-gram: words and word pairs, and pairs of word shapes.
 BUCKETS, SHAPES = 1 << 14, 1 << 10
@@ -25,7 +27,8 @@ SMOOTHING, PRIOR = 0.5, 8.0
 
 
 def word_shapes(raw: np.ndarray, ends: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A small code for each word: its last byte's class, whether it has capitals only, equals the word before, length."""
+    """A small code for each word: whether it equals the word before, whether it has capitals only (two or more), how many
+    of its bytes are marks, and its length, both in four steps."""
     space = np.isin(raw, np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8))
     word = ~space
     stop = word.copy()
@@ -184,13 +187,38 @@ def resample(
     The target model counts the documents labelled 1 for which `training` (a condition on the key) holds, the raw model
     all documents; both count whole texts. k documents with the largest log importance plus Gumbel noise are selected;
     k is keep_count's if none is given. The noise follows from the key and the seed, so the draw can be repeated, and
-    repeated rows are selected together. Null and empty texts have log importance 0.
+    repeated rows are selected together. Null and empty texts have log importance 0. Texts of any length count whole. An
+    empty table gives no rows. Other columns are not read, whatever their names.
     """
-    target = (
-        labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(key).distinct().withColumn("_target", F.lit(True))
-    )
-    own = docs.select(F.col(key), F.col(text)).join(small(written(target, "target")), key, "left")
-    counts = count_buckets(own.withColumn("_target", F.coalesce("_target", F.lit(False)) & training), text, "_target")
+    with scope():
+        return written(_resampled(docs, labels, training, k, seed, key, text, label), "resampled", keep=True)
+
+
+def model_counts(docs: DataFrame, target: DataFrame, training: Column, key: str, text: str) -> np.ndarray:
+    """count_buckets with the training documents whose key is in target as the weighted ones. Few keys go to where the
+    texts lie. Of many, a Bloom filter picks the texts that are likely theirs; only these are shuffled, to an exact join,
+    and counted in a pass of their own."""
+    own = docs.select(F.col(key), F.col(text))
+    if target.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marked = own.join(F.broadcast(target.withColumn("_target", F.lit(True))), key, "left")
+        return count_buckets(marked.withColumn("_target", F.coalesce("_target", F.lit(False)) & training), text, "_target")
+    hashes = target.select(F.xxhash64(key).alias("h"))
+    held = docs.sparkSession.sparkContext.broadcast(build_filter(hashes, hashes.count()))
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        block, bits = block_words(h.to_numpy().astype(np.int64).view(np.uint64), len(held.value))
+        return pd.Series(((held.value[block] & bits) == bits).all(axis=1))
+
+    some = own.where(F.col(key).isNotNull() & training).where(likely(F.xxhash64(key))).join(target, key, "left_semi")
+    raw = count_buckets(own.withColumn("_target", F.lit(False)), text, "_target")
+    raw[1] = count_buckets(some.withColumn("_target", F.lit(True)), text, "_target")[1]
+    return raw
+
+
+def _resampled(docs: DataFrame, labels: DataFrame, training: Column, k: int | None, seed: int, key: str, text: str, label: str) -> DataFrame:
+    target = written(labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(key).distinct(), "target")
+    counts = model_counts(docs, target, training, key, text)
     ratios = log_ratios(counts) if counts[1].sum() else np.zeros(SIZE)
     base = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("text_hash"))
     scored = log_importance(base, ratios, text).select(

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import ascii_lower, small, table
+from loam.llm.common import ascii_lower, small, table, written
 
 #: Odd multipliers that pick one bit in each of the eight 32-bit words of a block (fixed values).
 SALTS = np.array(
@@ -42,8 +42,8 @@ def key_hash(key: str) -> int:
     return xxhash.xxh64_intdigest(key.encode(), seed=42)  # as Spark's xxhash64 of one string
 
 
-def build_filter(rules: DataFrame, count: int) -> np.ndarray:
-    """The filter of the rules' keys as blocks x 8 words; executors set the bits, the driver gets the bounded array's words."""
+def build_filter(hashes: DataFrame, count: int) -> np.ndarray:
+    """The filter of keys' hashes (h) as blocks x 8 words; executors set the bits, the driver gets the bounded array's words."""
     blocks = max(1, min(MAX_BLOCKS, -(-count * BITS_PER_RULE // 256)))
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +52,7 @@ def build_filter(rules: DataFrame, count: int) -> np.ndarray:
             at = (block[:, None] * np.uint64(8) + np.arange(8, dtype=np.uint64)).ravel()
             yield pd.DataFrame({"at": at.astype(np.int64), "word": words.ravel().astype(np.int64)})
 
-    found = rules.select(F.xxhash64("key").alias("h")).mapInPandas(bits, "at long, word long")
+    found = hashes.select("h").mapInPandas(bits, "at long, word long")
     words = found.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(blocks * 8, dtype=np.uint32)
     out[words["at"].to_numpy()] = words["word"].to_numpy().astype(np.uint32)
@@ -70,7 +70,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     Null, empty and scheme-less urls have empty host and path and fit no rule of a host. Repeated pages are all kept,
     repeated rules count once; with no rules or no pages all is `default` or empty. Lookups are made once for each
-    distinct (host, path), whatever the number of pages of a hot host.
+    distinct (host, path), whatever the number of pages of a hot host; pages without a host are not joined. Urls of any
+    length are parsed whole.
     """
     spark = pages.sparkSession
     listed = rules.select(
@@ -81,7 +82,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     ).dropDuplicates(["key", "host_length"])
     count = listed.count()
     lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())  # path lengths of rules: as many as a URL may be long
-    held = spark.sparkContext.broadcast(build_filter(listed, count))
+    held = spark.sparkContext.broadcast(build_filter(listed.select(F.xxhash64("key").alias("h")), count))
 
     @F.pandas_udf("array<struct<key:string,host_length:int>>")
     def possible(hosts: pd.Series, paths: pd.Series) -> pd.Series:
@@ -113,9 +114,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .agg(F.max(longest).alias("best"))
         .select("host", "path", F.col("best.key").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
     )
-    return parsed.join(judged, ["host", "path"], "left").select(
-        *rest, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    found = parsed.where("host != ''").join(small(written(judged, "judged-urls")), ["host", "path"], "left")
+    bare = parsed.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    columns = [*rest, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")]
+    return found.select(columns).unionByName(bare.select(columns))
 
 
 #: The rules of the query (fixed values).
