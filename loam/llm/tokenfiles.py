@@ -3,6 +3,7 @@
 Layout of a file (integers little-endian): the frames one after another, each the document's ids as unsigned integers of
 `width` bytes; then a zstandard skippable frame whose content is the seek table, an ENTRY for each frame in order, and the
 FOOTER. A plain zstandard reader sees the ids alone; ours reads the footer, the table, and the asked documents' frames.
+(Zstandard's own seekable layout has no place for document ids, and 32 bits for sizes.)
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class TokenFileError(ValueError):
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
@@ -94,7 +96,10 @@ class TokenFile:
         e = self.entries[k]
         self.file.seek(int(e["offset"]))
         size = int(e["n_tokens"]) * self.width
-        raw = zstandard.ZstdDecompressor().decompress(self.file.read(int(e["size"])), max_output_size=size) if size else b""
+        try:
+            raw = zstandard.ZstdDecompressor().decompress(self.file.read(int(e["size"])), max_output_size=size) if size else b""
+        except zstandard.ZstdError as error:
+            raise TokenFileError(f"frame {k} is damaged") from error
         if len(raw) != size or zlib.crc32(raw) != e["crc32"]:
             raise TokenFileError(f"frame {k} fails its checksum")
         return np.frombuffer(raw, f"<u{self.width}")
@@ -196,15 +201,27 @@ def write_token_files(
     """Encodes whole texts, appends end_id, and writes token files in ascending key order; gives one row for each file:
     (file, path, n_docs, n_tokens, ids_before), ids_before being the ids in all files before it.
 
-    Files hold ranges of keys, cut at quantiles; null keys come first, rows of equal keys are ordered by their ids. A null
-    text counts as empty, and so has the end id alone. An empty table gives no file. Ids must fit `width` bytes.
-    folder is a URI that every executor reaches. Other columns are not read.
+    Files hold ranges of keys, cut at quantiles; null keys come first. A key of very many rows is dealt over several files
+    by a hash of text and input partition; in a file rows of equal keys are ordered by their ids. A null text counts as
+    empty, and so has the end id alone. Repeated rows each have their frame. Texts of any length are one frame. An empty
+    table gives no file. Ids must fit `width` bytes. folder is a URI that every executor reaches. Other columns are not
+    read, whatever their names.
     """
     rows = df.count()
     files = max(1, min(MOST_FILES, -(-rows // DOCS_A_FILE)))
     shares = [k / files for k in range(1, files)]
     bounds = (df.select(F.percentile_approx(key, shares, 20 * files)).first()[0] or []) if shares else []
-    bounds = sorted(set(bounds))
+    many = max(2 * DOCS_A_FILE, rows // MOST_FILES)
+    hot = df.groupBy(F.col(key).alias("key")).count().where(F.col("count") > many).collect()  # MOST_FILES at most
+    # Cuts before a bound, and before and behind a hot key: between two of them lie the files of one range of keys.
+    cuts = sorted({*((b, 0) for b in bounds), *((r["key"], side) for r in hot if r["key"] is not None for side in (0, 1))})
+    range_of = lambda k: 0 if k is None else 1 + bisect_right(cuts, (k, 0.5))
+    sizes = [1] * (len(cuts) + 2)
+    for r in hot:
+        sizes[range_of(r["key"])] = -(-r["count"] // DOCS_A_FILE)
+    first = [0]
+    for n in sizes:
+        first.append(first[-1] + n)
     kind = df.schema[key].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +229,8 @@ def write_token_files(
         for batch in batches:
             for part in parts(batch, 1, TOGETHER):
                 ids = [x + end for x in model.encode(part.column(1))]
-                file = [0 if k is None else bisect_right(bounds, k) for k in part.column(0).to_pylist()]
+                ranges = [range_of(k) for k in part.column(0).to_pylist()]
+                file = [first[r] + tie % sizes[r] for r, tie in zip(ranges, part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(file, pa.int32()), pa.array(ids, pa.binary())], ["key", "file", "ids"]
                 )
@@ -237,10 +255,10 @@ def write_token_files(
             n_docs, n_tokens = write_file(uri, docs(), width)
             yield pa.RecordBatch.from_pydict({"file": pa.array([now], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    encoded = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+    encoded = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text, F.spark_partition_id())).mapInArrow(
         lean(encode), T.StructType([T.StructField("key", kind), T.StructField("file", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     )
-    placed = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions(
+    placed = encoded.repartitionById(first[-1], F.col("file")).sortWithinPartitions(
         "file", F.col("key").asc_nulls_first(), "ids"
     )
     made = written(placed.mapInArrow(lean(write), "file int, path string, n_docs long, n_tokens long"), "token-files")
