@@ -23,13 +23,14 @@ def _own_folder() -> str:
 
 
 #: Rows and bytes of an Arrow batch, whatever the texts' lengths, in executors and their workers.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
-def bound_batches(spark: SparkSession) -> dict[str, str]:
-    """Lowers the session's bounds of an Arrow batch to BATCH; gives what they were, for restored()."""
-    before = {name: spark.conf.get(name) for name in BATCH}
-    for name, most in BATCH.items():
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> dict[str, str]:
+    """Lowers the session's bounds of an Arrow batch; gives what they were, for restored()."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in bounds}
+    for name, most in bounds.items():
         if not 0 < int(before[name].rstrip("b")) <= most:
             spark.conf.set(name, str(most))
     return before

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm.bpe import parts
-from loam.llm.common import fresh_path, lean, table, written
+from loam.llm.common import bound_batches, fresh_path, lean, restored, table, written
 
 SKIPPABLE = 0x184D2A5E  # zstandard's first magic number for skippable frames (fixed value)
 ENTRY = np.dtype(
@@ -37,8 +37,8 @@ FOOTER = struct.Struct("<QB4s")  # number of frames, width, magic
 MAGIC = b"LTF1"
 #: Files at most (more documents then go in each), whose bounds every task holds.
 MOST_FILES = 10_000
-#: Documents a file, text handled at once in a worker (characters), pieces and runs that a worker keeps encoded.
-DOCS_A_FILE, TOGETHER, KEPT_PIECES, KEPT_RUNS = 20_000, 8_000_000, 400_000, 900_000
+#: Documents a file, text handled at once in a worker (characters), pieces and runs of them that a worker keeps encoded.
+DOCS_A_FILE, TOGETHER, KEPT = 20_000, 4_000_000, 900_000
 
 
 class TokenFileError(ValueError):
@@ -121,7 +121,8 @@ class Words:
     """Whole texts encoded by a tokenizers file whose white space separates; pieces that come again are kept encoded.
 
     A text is cut at spaces and newlines, and a piece that is letters and then marks once more between them. New runs are
-    encoded many at a time, as one text, which the ids that end a word cut again."""
+    encoded many at a time, as one text, which the ids that end a word cut again. A run by itself is a piece, too, so one
+    store keeps both."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,16 +136,15 @@ class Words:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.kind, self.width = f"<u{width}", width
         self.kept: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}
 
     def encode_runs(self, runs: list[str]) -> None:
         ids = np.array(self.model.encode(" ".join(runs), add_special_tokens=False).ids, dtype=np.int64)
         cuts = (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(cuts) == len(runs):
             raw = ids.astype(self.kind).tobytes()
-            self.runs.update(zip(runs, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            self.kept.update(zip(runs, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
         else:
-            self.runs.update(zip(runs, self.whole(runs), strict=True))
+            self.kept.update(zip(runs, self.whole(runs), strict=True))
 
     def whole(self, pieces: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(pieces, add_special_tokens=False)
@@ -153,20 +153,18 @@ class Words:
     def prepare(self, pieces: list[str]) -> None:
         simple = [m.groups() if (m := SIMPLE.fullmatch(p)) and "<|" not in p else None for p in pieces]
         simple = [s and (s[0].lower(), s[1]) for s in simple]
-        new = list({r for s in simple if s for r in s}.difference(self.runs))
+        new = list({r for s in simple if s for r in s}.difference(self.kept))
         for k in range(0, len(new), 20_000):
             self.encode_runs(new[k : k + 20_000])
         odd = [p for p, s in zip(pieces, simple, strict=True) if not s]
-        self.kept.update((p, self.runs[s[0]] + self.runs[s[1]]) for p, s in zip(pieces, simple, strict=True) if s)
+        self.kept.update((p, self.kept[s[0]] + self.kept[s[1]]) for p, s in zip(pieces, simple, strict=True) if s)
         self.kept.update(zip(odd, self.whole(odd), strict=True))
 
     def trim(self) -> None:
         """Forgets encoded pieces and runs but for short ones, which are likely to come again."""
-        short = lambda store, most: kept if len(kept := {k: v for k, v in store.items() if len(k) < 9}) < most // 2 else {"": b""}
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = short(self.kept, KEPT_PIECES)
-        if len(self.runs) > KEPT_RUNS:
-            self.runs = short(self.runs, KEPT_RUNS)
+        if len(self.kept) > KEPT:
+            short = {k: v for k, v in self.kept.items() if len(k) < 9}
+            self.kept = short if len(short) < KEPT // 2 else {"": b""}
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a string array (null: none). Pieces are numbered in Arrow; Python sees distinct ones."""
@@ -185,8 +183,7 @@ class Words:
         first = (np.cumsum(sizes) - sizes)[codes]
         raw = ids[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
         at = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * self.width
-        if len(self.kept) > KEPT_PIECES or len(self.runs) > KEPT_RUNS:
-            self.trim()
+        self.trim()
         return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
@@ -261,9 +258,13 @@ def write_token_files(
     placed = encoded.repartitionById(first[-1], F.col("file")).sortWithinPartitions(
         "file", F.col("key").asc_nulls_first(), "ids"
     )
-    made = written(placed.mapInArrow(lean(write), "file int, path string, n_docs long, n_tokens long"), "token-files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return made.withColumn("ids_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    before = bound_batches(df.sparkSession, 10_000)
+    try:
+        made = written(placed.mapInArrow(lean(write), "file int, path string, n_docs long, n_tokens long"), "token-files")
+    finally:
+        restored(df.sparkSession, before)
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    return made.withColumn("ids_before", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
