@@ -28,10 +28,12 @@ def bound(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def shingle_runs(w: Column, size: int) -> Column:
-    """A struct (at, shingle, n) for every run of `size` words of an array: its place from 0, its hash, the array's length."""
+def shingle_runs(w: Column, sizes: list[int]) -> Column:
+    """A struct (at, shingle, n) for every run of so many words of an array, for all sizes at once: its place from 0, its
+    hash, the array's length."""
+    none = F.array().cast("array<struct<at:int,shingle:bigint,n:int>>")
 
-    def inside(h: Column) -> Column:
+    def of_size(h: Column, size: int) -> Column:
         runs = F.transform(
             F.sequence(F.lit(0), F.size(h) - size),
             lambda i: F.struct(
@@ -40,9 +42,9 @@ def shingle_runs(w: Column, size: int) -> Column:
                 F.size(h).alias("n"),
             ),
         )
-        return F.when(F.size(h) >= size, runs)
+        return F.when(F.size(h) >= size, runs).otherwise(none)
 
-    return bound(F.transform(w, lambda x: F.xxhash64(x)), inside)
+    return bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*[of_size(h, n) for n in sizes]))
 
 
 def item_windows(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
@@ -63,19 +65,20 @@ def contamination(
 
     Whole texts on both sides. Null and empty texts have no words, no hits and no items; items without words have no
     windows; an item's null id is the empty string. Repeated rows each have their result; rows that share a key but not
-    the text are told apart. Other columns are not read. A shingle that very many documents have is looked up only for
+    the text are told apart. Empty tables of documents or items give no rows, or no hits. Texts of any length are read
+    whole. Other columns are not read, whatever their names. A shingle that very many documents have is looked up only for
     windows that have no rarer one.
     """
     windows = written(item_windows(items, item, item_text, size), "windows")
     distinct = windows.select("window", "words", "length").dropDuplicates(["window"])
     sizes = sorted(r[0] for r in distinct.select(F.least("length", F.lit(SHINGLE))).distinct().collect())  # 1 to 5
-    row = F.xxhash64(F.col(key), F.col(text)).alias("row")
+    row = F.struct(F.xxhash64(F.col(key)).alias("key"), F.xxhash64(F.col(text)).alias("text")).alias("row")  # 128 bits
     tokens = docs.select(row, words(F.col(text)).alias("w"))
     counts = docs.select(F.col(key), row, F.xxhash64(text).alias("text_hash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     found = None
     if sizes:
         cut = [
-            distinct.where(F.least("length", F.lit(SHINGLE)) == n).select("window", "length", F.inline(shingle_runs(F.col("words"), n)))
+            distinct.where(F.least("length", F.lit(SHINGLE)) == n).select("window", "length", F.inline(shingle_runs(F.col("words"), [n])))
             for n in sizes
         ]
         shingles = cut[0]
@@ -83,10 +86,7 @@ def contamination(
             shingles = shingles.unionByName(x)
         shingles = written(shingles.select("window", "length", "shingle", F.col("at").alias("place")), "window-shingles")
         known = small(written(shingles.select("shingle").distinct(), "shingles"))
-        seen = None
-        for n in sizes:
-            some = tokens.select("row", F.inline(shingle_runs(F.col("w"), n))).join(known, "shingle", "left_semi")
-            seen = some if seen is None else seen.unionByName(some)
+        seen = tokens.select("row", F.inline(shingle_runs(F.col("w"), sizes))).join(known, "shingle", "left_semi")
         found = occurrences(docs.select(row, F.col(text).alias("text")), written(seen, "shingles-seen"), shingles, distinct, windows)
     if found is None:
         return counts.select(
@@ -149,6 +149,7 @@ def occurrences(texts: DataFrame, seen: DataFrame, shingles: DataFrame, distinct
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's benchmark words; see contamination for nulls, repeats and empty tables."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
