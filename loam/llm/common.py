@@ -26,9 +26,9 @@ def _own_folder() -> str:
 BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> dict[str, str]:
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> dict[str, str]:
     """Lowers the session's bounds of an Arrow batch; gives what they were, for restored()."""
-    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
     before = {name: spark.conf.get(name) for name in bounds}
     for name, most in bounds.items():
         if not 0 < int(before[name].rstrip("b")) <= most:

@@ -38,7 +38,7 @@ MAGIC = b"LTF1"
 #: Files at most (more documents then go in each), whose bounds every task holds.
 MOST_FILES = 10_000
 #: Documents a file, text handled at once in a worker (characters), pieces and runs of them that a worker keeps encoded.
-DOCS_A_FILE, TOGETHER, KEPT = 20_000, 4_000_000, 900_000
+DOCS_A_FILE, TOGETHER, KEPT = 20_000, 8_000_000, 900_000
 
 
 class TokenFileError(ValueError):
@@ -258,7 +258,7 @@ def write_token_files(
     placed = encoded.repartitionById(first[-1], F.col("file")).sortWithinPartitions(
         "file", F.col("key").asc_nulls_first(), "ids"
     )
-    before = bound_batches(df.sparkSession, 10_000)
+    before = bound_batches(df.sparkSession, 10_000, TOGETHER)
     try:
         made = written(placed.mapInArrow(lean(write), "file int, path string, n_docs long, n_tokens long"), "token-files")
     finally:
@@ -296,6 +296,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids as read back from files; see write_token_files for nulls, ties and empty tables."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
