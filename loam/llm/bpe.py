@@ -256,7 +256,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFra
 
     Encodes whole texts: special tokens' strings become their ids, the rest is pre-tokenised and each pre-token merged
     by a segment tree. Equal to the tokenizers library on the same file. Null and empty texts have no ids and decode to
-    the empty text. Rows are independent of each other: no shuffle; a worker holds one Arrow batch's part of at most
+    the empty text; repeated rows each have theirs; an empty table gives no rows. Rows are independent of each other: no shuffle; a worker holds one Arrow batch's part of at most
     TOGETHER characters (or one text) at a time. vocabulary is a path that every executor has.
     """
     rest = [c for c in df.columns if c not in ("ids", "decoded")]
@@ -287,6 +287,7 @@ def parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordB
 
 
 def op7_bpe(spark, sf_dir):
+    """Every document's ids and their decoded text; see encode_decode for nulls, repeats and empty tables."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -383,6 +383,7 @@ def _scored(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability; see score_documents for nulls, repeats and empty tables."""
     rest = crc_mod("doc_id", 10)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(rest == 0, 0).when(rest == 1, 1).otherwise(2).alias("part"))
     return score_documents(docs).select("doc_id", (rest == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

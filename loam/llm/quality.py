@@ -231,5 +231,6 @@ def _resampled(docs: DataFrame, labels: DataFrame, training: Column, k: int | No
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance and whether it is drawn; see resample for nulls, repeats and empty tables."""
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return found.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "selected")

@@ -439,4 +439,5 @@ def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, tex
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component; see near_duplicates for nulls, repeats and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

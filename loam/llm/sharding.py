@@ -62,6 +62,7 @@ def byte_balanced_shards(df: DataFrame, n_shards: int = 8, key: str = "doc_id",
 
 
 def op5_sharding(spark, sf_dir):
+    """Every document's shard by the law of bytes; see byte_balanced_shards for nulls, ties and empty tables."""
     return byte_balanced_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "size",

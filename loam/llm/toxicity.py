@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
 
 def score_toxicity(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """df with toxicity (double) and offending (array of spans: start, end in characters, p) added, columns so named
-    replaced. Only the text is an input. Null and empty texts score the leak and have no spans. No shuffle."""
+    replaced. Only the text is an input. Null and empty texts score the leak and have no spans; repeated rows score the
+    same; texts of any length are read whole; an empty table gives no rows; other columns are kept. No shuffle."""
     rest = [c for c in df.columns if c not in ("toxicity", "offending")]
     span = T.StructType().add("start", "integer").add("end", "integer").add("p", "double")
     schema = df.select(*rest).schema.add("toxicity", "double").add("offending", T.ArrayType(span))
@@ -197,6 +198,7 @@ def score_toxicity(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFra
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; see fit for labels and score_toxicity for nulls, repeats and empty tables."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scorer = fit(docs, labels, crc_mod("doc_id", 5) != 0)
     return score_toxicity(docs.select("doc_id", "text"), scorer).select(

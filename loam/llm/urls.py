@@ -131,6 +131,7 @@ RULES = [
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; see filter_urls for nulls, repeats and empty tables."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select(
         "page_id", "host", "path", "rule", "verdict"
