@@ -23,8 +23,9 @@ PATTERN = regex.compile(
 SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]", c))
 #: In a text without these, and with no white space at its ends, each space or newline is alone between other characters.
 ODD = ("  ", " \n", "\n ", "\n\n", "\0", *sorted(SPACES - {" ", "\n"}))
-#: Pieces that a Python worker keeps encoded, so that its memory is bounded; from task to task it keeps the shortest of them.
-KEPT_PIECES, KEPT_SHORT = 250_000, 120_000
+#: Pieces that a Python worker keeps encoded, some 200 bytes each, so that its memory is bounded; from task to task it
+#: keeps the shortest of them, half as many.
+KEPT_PIECES = 500_000
 #: Pre-tokens of more bytes are encoded one by one, each in a tree of its own; rows of at most this many bytes together.
 WIDE, TOGETHER = 64, 1_000_000
 NONE = np.int64(1) << 40
@@ -63,6 +64,7 @@ class BytePairs:
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.pair = dict(zip(keys.tolist(), range(len(merges)), strict=True))
         self.of_made = self.made.tolist()
+        self.limit = KEPT_PIECES
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -213,13 +215,13 @@ class BytePairs:
         for k in range(0, len(todo), 50_000):
             self._prepare_part(todo[k : k + 50_000])
         out = [b"".join(map(kept.__getitem__, steps)) for steps in plan]
-        if len(kept) > KEPT_PIECES or len(self.words) > KEPT_PIECES:
+        if len(kept) > self.limit or len(self.words) > self.limit:
             self.trim()
         return out
 
     def trim(self) -> None:
         """Forgets encoded pieces but for short ones, which are likely to come again."""
-        self.pieces, self.words = shortest(self.pieces), shortest(self.words)
+        self.pieces, self.words = shortest(self.pieces, self.limit // 2), shortest(self.words, self.limit // 2)
 
     def _prepare_part(self, pieces: list[str]) -> None:
         cut = [PATTERN.findall(p) for p in pieces]
@@ -240,10 +242,12 @@ class BytePairs:
         return raw.decode("utf-8", errors="replace").encode()
 
 
-def shortest(store: dict, length: int = 9) -> dict:
-    """The entries of a store whose keys are shorter than that, or fewer if they are many."""
+def shortest(store: dict, most: int, length: int = 12) -> dict:
+    """The entries of a store whose keys are shorter than that, or yet shorter if they are more than so many."""
+    if len(store) <= most:
+        return store
     kept = {k: v for k, v in store.items() if len(k) < length}
-    return kept if len(kept) <= KEPT_SHORT or length < 3 else shortest(kept, length - 1)
+    return kept if len(kept) <= most or length < 3 else shortest(kept, most, length - 1)
 
 
 @cache
@@ -251,13 +255,14 @@ def byte_pairs(path: str) -> BytePairs:
     return BytePairs(path)
 
 
-def encode_decode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", kept: int = KEPT_PIECES) -> DataFrame:
     """df with `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string) added, columns so named replaced.
 
     Encodes whole texts: special tokens' strings become their ids, the rest is pre-tokenised and each pre-token merged
     by a segment tree. Equal to the tokenizers library on the same file. Null and empty texts have no ids and decode to
     the empty text; repeated rows each have theirs; an empty table gives no rows. Rows are independent of each other: no shuffle; a worker holds one Arrow batch's part of at most
-    TOGETHER characters (or one text) at a time. vocabulary is a path that every executor has.
+    TOGETHER characters (or one text) at a time, and keeps `kept` encoded pieces: fewer take less memory and more time.
+    vocabulary is a path that every executor has.
     """
     rest = [c for c in df.columns if c not in ("ids", "decoded")]
     schema = df.select(*rest).schema.add("ids", "binary").add("decoded", "string")
@@ -265,6 +270,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_pairs(vocabulary)
+        model.limit = kept
         for batch in batches:
             for part in parts(batch, at, TOGETHER):
                 ids = model.encode_texts([t or "" for t in part.column(at).to_pylist()])
