@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from loam.llm import bpe, decontaminate, quality, setjoin, toxicity
 from loam.llm.common import bound_batches, restored, scope, small, table, written
 
+#: Encoded pieces that a worker keeps: few, as executors of a long session have little memory left beside their heap.
+KEPT_PIECES = 100_000
 #: No SQL: learned scores and byte-pair encoding are beyond it. tests/llm compares stages with brute force.
 ORACLE_SQL = None
 
@@ -76,7 +78,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids are little-endian unsigned 32-bit integers. A null or empty
     text has none; repeated rows each have theirs."""
     bound_batches(spark)
-    found = bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    found = bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT_PIECES)
     return found.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
