@@ -16,10 +16,17 @@ class CorpusNotFound(FileNotFoundError):
     """There is no readable corpus at the path."""
 
 
+#: Ids of a book that one task numbers.
+CHUNK = 1_000_000
+
+
 @dataclass
 class Corpus:
+    """placed: lines with line_index and he_ref, where finding these costs more than reading them."""
+
     line: DataFrame
     book: DataFrame
+    placed: DataFrame | None = None
 
     @staticmethod
     def read(spark: SparkSession, line_path: str, book_path: str) -> Corpus:
@@ -35,15 +42,23 @@ class Corpus:
         """documents as a corpus: a source is a book, its documents are the lines in order of their ids."""
         titles = docs.select(F.col("source").alias("title")).distinct()
         books = titles.withColumn("book_id", F.dense_rank().over(Window.orderBy("title")).cast("long"))  # a row for each source
-        place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-        lines = docs.join(books, F.col("source").eqNullSafe(F.col("title"))).select(
-            F.col("doc_id").alias("id"),
-            "book_id",
-            place.alias("line_index"),
-            F.concat("source", F.lit(":"), place).alias("he_ref"),
-            F.col("text").alias("content"),
+        of_book = lambda rows: rows.join(books, F.col("source").eqNullSafe(F.col("title")))
+        text = F.col("text").alias("content")
+        # A source of a third of all rows is numbered in chunks of its ids, from counts of the chunks before.
+        chunked = docs.withColumn("chunk", F.floor(F.col("doc_id") / CHUNK))
+        counts = chunked.groupBy("source", "chunk").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+        starts = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        inside = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("doc_id"))
+        met = F.col("source").eqNullSafe(F.col("s")) & F.col("chunk").eqNullSafe(F.col("c"))
+        numbered = chunked.withColumn("inside", inside).join(starts, met).withColumn("place", (F.col("start") + F.col("inside") - 1).cast("int"))
+        return Corpus(
+            of_book(docs).select(F.col("doc_id").alias("id"), "book_id", text),
+            books.select("book_id", "title"),
+            of_book(numbered).select(
+                F.col("doc_id").alias("id"), "book_id", F.col("place").alias("line_index"), F.concat("source", F.lit(":"), "place").alias("he_ref"), text
+            ),
         )
-        return Corpus(lines, books.select("book_id", "title"))
 
     def scan(self, limit: int | None = None, after: int | None = None) -> DataFrame:
         """(id, content) in order of id, after an id if one is given; a null content is the empty string."""
@@ -62,6 +77,9 @@ class Corpus:
         """(id, title) of the line at an offset in id order."""
         return self._titled(self.line.select("id", "book_id").orderBy("id").offset(offset).limit(1)).select("id", "title")
 
+    def _places(self) -> DataFrame:
+        return self.line if self.placed is None else self.placed
+
     def _titled(self, rows: DataFrame, how: str = "left") -> DataFrame:
         """rows with their book's title, the empty string if it has none."""
         titles = self.book.select("book_id", "title")
@@ -82,11 +100,12 @@ class Corpus:
 
     def fetch_titles(self, ids: DataFrame) -> DataFrame:
         """(id, title) by book and line; lines without a book are dropped, contents are not read."""
-        rows = self.line.select("id", "book_id", "line_index").join(ids.select("id"), "id", "left_semi")
-        return self._titled(rows, "inner").orderBy("book_id", "line_index").select("id", "title")
+        place = "line_index" if self.placed is None else "id"  # documents are numbered by their ids
+        rows = self.line.select(F.col("id"), "book_id", F.col(place).alias("place")).join(ids.select("id"), "id", "left_semi")
+        return self._titled(rows, "inner").orderBy("book_id", "place").select("id", "title")
 
     def line_info(self, line_id: int) -> DataFrame:
-        rows = self.line.where(F.col("id") == line_id).select("id", "book_id", "line_index", "he_ref")
+        rows = self._places().where(F.col("id") == line_id).select("id", "book_id", "line_index", "he_ref")
         return self._titled(rows).select("id", "title", "line_index", "he_ref")
 
     def find_phrase(self, phrase: str, limit: int) -> DataFrame:
@@ -94,7 +113,7 @@ class Corpus:
         return self.line.where(holds(F.col("content"), phrase)).select("id", "content").orderBy("id").limit(limit)
 
     def find_book_phrase(self, title: str, phrase: str) -> DataFrame:
-        rows = self.line.where(holds(F.col("content"), phrase)).select("id", "book_id", "line_index", "he_ref")
+        rows = self._places().where(holds(F.col("content"), phrase)).select("id", "book_id", "line_index", "he_ref")
         books = self.book.where(holds(F.col("title"), title))
         return rows.join(books, "book_id").select("id", "title", "line_index", "he_ref")
 
