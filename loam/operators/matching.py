@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.plans.expand import MARKS
+
 #: Terms up to which a slot map is a list in the filter; beyond it, a joined table.
 MOST_LISTED = 200
 
@@ -52,6 +57,13 @@ def match(postings: DataFrame, slots: list[list[str]]) -> DataFrame:
     return held.groupBy("doc_id").agg(F.bit_or("mark").alias("m")).where(F.col("m") == (1 << len(slots)) - 1).select("doc_id")
 
 
+def match_marked(postings: DataFrame, terms: DataFrame, slots: int) -> DataFrame:
+    """match for terms that are a table, as expand.marked gives them: any number, joined as Spark finds best."""
+    wanted = [min(MARKS, slots - k) for k in range(0, slots, MARKS)]
+    held = postings.join(terms, "term").groupBy("doc_id").agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(wanted))])
+    return held.where(reduce(and_, [F.col(f"m{i}") == (1 << n) - 1 for i, n in enumerate(wanted)])).select("doc_id")
+
+
 def term_counts(postings: DataFrame, terms: list[str]) -> DataFrame:
     """(term, df) of the terms that occur."""
     return of_terms(postings, terms).groupBy("term").agg(F.count("*").alias("df"))

@@ -12,7 +12,7 @@ from loam.functions.text import tokens_sql
 from loam.operators import matching
 from loam.operators import proximity as near
 from loam.operators import snippets as marked
-from loam.plans.expand import Plan, plan
+from loam.plans.expand import MOST_TERMS, Plan, TooManyTerms, marked as marked_terms, plan
 from loam.plans.query import literal_terms, parse
 from loam.sources.corpus import Corpus
 
@@ -33,10 +33,19 @@ class Engine:
         return plan(parse(query), self.vocabulary, variants)
 
     def search_ids(self, query: str | Plan, variants: bool = False) -> DataFrame:
-        """(doc_id) of matching documents; no content is read."""
-        p = query if isinstance(query, Plan) else self.plan(query, variants)
+        """(doc_id) of matching documents; no content is read. A query that stands for more than MOST_TERMS terms is joined
+        with the vocabulary instead of being listed."""
+        try:
+            p = query if isinstance(query, Plan) else plan(parse(query), self.vocabulary, variants, MOST_TERMS)
+        except TooManyTerms:
+            return self.search_ids_unlisted(query, variants)
         return matching.none(self.postings) if p.hopeless else matching.match(self.postings, p.slots)
 
+    def search_ids_unlisted(self, query: str, variants: bool = False) -> DataFrame:
+        """What search_ids gives, without a list of terms on the driver."""
+        found = marked_terms(parse(query), self.vocabulary, variants)
+        return matching.none(self.postings) if found is None else matching.match_marked(self.postings, *found)
+
     def _rows(self, p: Plan, cap: int) -> DataFrame:
         ids = self.search_ids(p).select(F.col("doc_id").alias("id"))
         if cap:  # ids without a line do not count

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loam.functions.scanner import Token, scan
 from loam.operators.proximity import UNMATCHED
@@ -107,3 +108,15 @@ def with_snippets(rows: DataFrame, plan: Plan, content: str = "content", ordered
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
     return rows.select(*rest).mapInArrow(run, schema)
+
+
+def results_page(rows: DataFrame, direction: str = "rtl") -> DataFrame:
+    """(page) of one row: an HTML page of a page of results (id, title, html), in order of id. It is one value, so rows
+    should be a page that was cut before. Titles are escaped; snippets have no tags but their marks."""
+    title = F.col("title")
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(sign), F.lit(entity))
+    item = F.concat(F.lit("<section><h2>"), F.coalesce(title, F.lit("")), F.lit("</h2><p>"), "html", F.lit("</p></section>"))
+    items = F.array_sort(F.collect_list(F.struct("id", item.alias("item"))))["item"]
+    head = f'<!DOCTYPE html><html dir="{direction}"><head><meta charset="utf-8"></head><body>'
+    return rows.agg(F.concat(F.lit(head), F.array_join(items, ""), F.lit("</body></html>")).alias("page"))

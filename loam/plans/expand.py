@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from loam.functions.hebrew import grammar_forms, spelling_variants
 from loam.plans.query import AFTER, BEFORE, SHORTEST_ANCHOR, Pattern, anchor, optional_forms
 
+#: Terms that a plan lists on the driver for ids alone; ids of a query that stands for more are found without a list.
+MOST_TERMS = 100_000
+#: Slots whose marks one long holds.
+MARKS = 62
+
+
+class TooManyTerms(ValueError):
+    """A query stands for more terms than were to be listed."""
 
 
 def star_predicate(text: str, term: Column) -> Column | None:
@@ -93,17 +101,21 @@ class Plan:
         return first
 
 
-def plan(slots: list[list[Pattern]], vocab: DataFrame, variants: bool = False) -> Plan:
-    """Expands a query. One job filters the vocabulary by all alternatives that need it; its answers are small, for stars
-    and edits are bounded. A fuzzy alternative without terms makes the query hopeless; wildcards and affixes without
-    terms are skipped, and a slot left without any is dropped; a literal always stays (with its spellings, if asked)."""
+def plan(slots: list[list[Pattern]], vocab: DataFrame, variants: bool = False, most: int | None = None) -> Plan:
+    """Expands a query. One job filters the vocabulary by all alternatives that need it, and its terms reach the driver:
+    TooManyTerms if they are more than `most`. A fuzzy alternative without terms makes the query hopeless; wildcards and
+    affixes without terms are skipped, and a slot left without any is dropped; a literal always stays (with its spellings,
+    if asked)."""
     asked = [p for slot in slots for p in slot if p.kind != "literal"]
     tests = {p: t for p in dict.fromkeys(asked) if (t := predicate(p, F.col("term"))) is not None}
     found: dict[Pattern, list[str]] = {p: [] for p in asked}
     if tests:
         flags = [t.alias(f"p{i}") for i, t in enumerate(tests.values())]
         rows = vocab.select("term", *flags).where(reduce(or_, [F.col(f"p{i}") for i in range(len(tests))])).orderBy("term")
-        for row in rows.collect():
+        listed = (rows if most is None else rows.limit(most + 1)).collect()
+        if most is not None and len(listed) > most:
+            raise TooManyTerms(f"more than {most} terms")
+        for row in listed:
             for i, p in enumerate(tests):
                 if row[f"p{i}"]:
                     found[p].append(row["term"])
@@ -121,3 +133,27 @@ def plan(slots: list[list[Pattern]], vocab: DataFrame, variants: bool = False) -
             out.slots.append(list(terms))
     out.hopeless = not out.slots
     return out
+
+
+def marked(slots: list[list[Pattern]], vocab: DataFrame, variants: bool = False) -> tuple[DataFrame, int] | None:
+    """What plan decides, without a list of terms: (term, m0, m1, ...), with a bit for each slot that a term stands in,
+    MARKS to a column, and the number of slots; None if no document can match. A flag for each alternative is all that
+    reaches the driver."""
+    term = F.col("term")
+    asked = [p for slot in slots for p in slot if p.kind != "literal"]
+    tests = {p: t for p in dict.fromkeys(asked) if (t := predicate(p, term)) is not None}
+    flags = vocab.agg(*[F.bool_or(t).alias(f"p{i}") for i, t in enumerate(tests.values())]).first() if tests else ()
+    held = {p for p, some in zip(tests, flags, strict=True) if some}
+    if any(p.kind == "fuzzy" and p not in held for p in asked):
+        return None
+    fits = []
+    for slot in slots:
+        own = [tests[p] for p in slot if p in held]
+        own += [term.isin([p.text, *(spelling_variants(p.text) if variants else [])]) for p in slot if p.kind == "literal"]
+        if own:
+            fits.append(reduce(or_, own))
+    if not fits:
+        return None
+    bits = [F.when(f, F.lit(1 << i % MARKS)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(fits)]
+    marks = [reduce(add, bits[k : k + MARKS]).alias(f"m{k // MARKS}") for k in range(0, len(bits), MARKS)]
+    return vocab.where(reduce(or_, fits)).select("term", *marks), len(fits)

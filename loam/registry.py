@@ -19,7 +19,7 @@ from loam.operators.search import Engine, parse_batch
 from loam.plans.expand import Plan, expand
 from loam.plans.query import parse
 from loam.sources.corpus import Corpus
-from loam.sources.segments import Index
+from loam.sources.segments import Index, MemoryIndex
 from loam.sources.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +281,20 @@ searched("search_dropped_slot", "zq* the of", "term = 'the'", "term = 'of'")
 searched("fuzzy_hard_miss", "zqxjkv~ | the")
 
 
+def searched_unlisted(name: str, text: str, *slots: str) -> None:
+    query(name, f"WITH {POST} {in_slots(*slots)}")(lambda spark, sf: engine(spark, sf).search_ids_unlisted(text))
+
+
+searched_unlisted("search_unlisted_infix", "*he* | of and", f"({STAR.format('%he%', 9)}) OR term = 'of'", "term = 'and'")
+searched_unlisted("search_unlisted_fuzzy", "zq* there~2 the*", _NEAR.format(2), STAR.format("the%", 7))
+
+
+@query("search_in_memory", f"WITH {POST} {in_slots("term = 'the'", STAR.format('of%', 6))}")
+def _(spark, sf):
+    own = MemoryIndex(lines(spark, sf))
+    return Engine(corpus(spark, sf), own.postings(), own.vocabulary()).search_ids("the of*")
+
+
 @query("reader_modes", f"WITH {POST} SELECT 'and' AS mode, count(*) AS n FROM ({in_slots(STAR.format('the', 3), STAR.format('and', 3))}) UNION ALL SELECT 'or', count(DISTINCT doc_id) FROM post WHERE term IN ('the', 'and') UNION ALL SELECT 'df:the', df FROM vocab WHERE term = 'the'")
 def _(spark, sf):
     rows = index(spark, sf).postings()

@@ -12,12 +12,15 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.text import distinct_terms
 
 FAN_OUT = 4
+#: Postings of a segment's file at most.
+FILE_ROWS = 20_000_000
 
 
 class CorruptIndex(RuntimeError):
@@ -49,6 +52,28 @@ def with_batch(batches: tuple[tuple[int, int], ...], n: int) -> tuple[tuple[int,
     return tuple(out)
 
 
+def postings_of(lines: DataFrame) -> DataFrame:
+    """(term, doc_id) of lines (id, content): each distinct term once for each line."""
+    return lines.select(F.explode(distinct_terms(F.col("content"))).alias("term"), F.col("id").alias("doc_id"))
+
+
+class MemoryIndex:
+    """An index of lines (id, content) without files: postings in executors' memory, what does not fit on their disks.
+    What a lost executor held is computed again. Searched like an Index; close() frees it."""
+
+    def __init__(self, lines: DataFrame):
+        self._postings = postings_of(lines).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def postings(self) -> DataFrame:
+        return self._postings
+
+    def vocabulary(self) -> DataFrame:
+        return self._postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def close(self) -> None:
+        self._postings.unpersist()
+
+
 class Store:
     """Files of an index through Hadoop's file system, so that any path Spark writes will do."""
 
@@ -140,7 +165,8 @@ class Index:
         postings.write.parquet(f"{self.store.root}/{stage}")
         rows = self.spark.read.parquet(f"{self.store.root}/{stage}")
         # ranges of terms with rows in proportion: a term of a third of all rows is dealt over several files
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(out)
+        rows = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(out)
         self.store.delete(stage)
         rows = self.spark.read.parquet(out)
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -155,8 +181,7 @@ class Index:
         its segment was merged or purged since, or when it had no terms."""
         if batch >= 0 and any(a <= batch <= b for a, b in self.batches):
             return self
-        postings = lines.select(F.explode(distinct_terms(F.col("content"))).alias("term"), F.col("id").alias("doc_id"))
-        return self._publish(self.segments + self._write(postings, 0, batch), with_batch(self.batches, batch) if batch >= 0 else None)
+        return self._publish(self.segments + self._write(postings_of(lines), 0, batch), with_batch(self.batches, batch) if batch >= 0 else None)
 
     def progress(self) -> dict:
         """What a build needs to go on: the last id, the batches that are in, the version, segments and documents' range."""

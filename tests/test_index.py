@@ -1,15 +1,19 @@
 """Postings algebra, the life of an index, lexicon errors, SQL functions."""
 
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loam.functions.hebrew import strip_affixes, strip_prefixes
 from loam.operators import lexicon, matching
+from loam.operators.control import cancel, cancellable
 from loam.operators.search import Engine, register
+from loam.operators.snippets import results_page
 from loam.sources.corpus import Corpus, CorpusNotFound
-from loam.sources.segments import CorruptIndex, Index, IndexBusy
+from loam.sources.segments import CorruptIndex, Index, IndexBusy, MemoryIndex
 from loam.sources.storage import scratch
 
 DOCS = {1: "berry apple sky", 2: "apple light", 3: "day one", 4: "day two", 5: "day three <b>sky</b>"}
@@ -173,3 +177,61 @@ def test_pages(spark):
         got = engine.interactive("sky day", most=2, ordered=True, skip=skip, batch=batch, mark=("[", "]")).collect()
         assert [r.id for r in got] == near[skip : skip + batch]
         assert all(r.html.endswith("[day]") for r in got)
+
+
+QUERIES = ["day", "apple sky", "da* | light", "skyy~", "nothing", "apple light | berry", "", "zq* day", "zqxjkv~ | day", "zq*", "*ay* | sk?y th*", "day | sky *ne | apple"]
+
+
+def test_ids_without_a_list_of_terms(spark, monkeypatch):
+    own = MemoryIndex(frame(spark, {**DOCS, 6: None, 7: ""}))
+    engine = Engine(None, own.postings(), own.vocabulary())
+    listed = {q: ids(engine.search_ids(q)) for q in QUERIES}
+    assert listed["da* | light"] == [2, 3, 4, 5] and listed["zq* day"] == [3, 4, 5]
+    assert {q: ids(engine.search_ids_unlisted(q)) for q in QUERIES} == listed
+    monkeypatch.setattr("loam.operators.search.MOST_TERMS", 0)
+    assert {q: ids(engine.search_ids(q)) for q in QUERIES} == listed
+    many = " ".join(["day"] * 70)  # more slots than one long has marks
+    assert ids(engine.search_ids_unlisted(many)) == [3, 4, 5] and ids(engine.search_ids_unlisted(many + " sky")) == [5]
+    own.close()
+
+
+def test_places_of_lines_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr("loam.sources.corpus.CHUNK", 10)
+    random.seed(3)
+    rows = [(i, f"word{i}", random.choice(["a", "a", "b", None])) for i in [*random.sample(range(-50, 200), 90), None]]
+    corpus = Corpus.of_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = {}
+    for source in ("a", "b", None):
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: (r[0] is not None, r[0] or 0))
+        want |= {r[0]: k for k, r in enumerate(own)}
+    assert {r.id: r.line_index for r in corpus.placed.collect()} == want
+    assert corpus.placed.count() == len(rows)
+
+
+def test_results_page(spark):
+    rows = spark.createDataFrame([(2, "b & <c>", "<mark>x</mark> y"), (1, None, "first")], "id long, title string, html string")
+    page = results_page(rows).first().page
+    assert page.index("first") < page.index("b &amp; &lt;c&gt;") < page.index("<mark>x</mark> y")
+    assert 'dir="rtl"' in page and page.endswith("</html>")
+    assert "<section>" not in results_page(rows.limit(0)).first().page
+
+
+def test_cancel(spark):
+    failed = []
+
+    def slow():
+        with cancellable(spark, "slow-search"):
+            try:
+                spark.range(10**12).where("sqrt(id) < 0").count()
+            except Exception as e:  # Spark names the interruption in several ways
+                failed.append(e)
+
+    worker = threading.Thread(target=slow, daemon=True)
+    worker.start()
+    for _ in range(200):
+        cancel(spark, "slow-search")
+        worker.join(0.1)
+        if not worker.is_alive():
+            break
+    assert failed and not worker.is_alive()
+    assert not spark.sparkContext.getJobTags()
