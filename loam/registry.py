@@ -19,6 +19,7 @@ from loam.operators.search import Engine, parse_batch
 from loam.plans.expand import Plan, expand
 from loam.plans.query import parse
 from loam.sources.corpus import Corpus
+from loam.sources.pieces import dealt
 from loam.sources.segments import Index, MemoryIndex
 from loam.sources.storage import scratch
 
@@ -39,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def corpus(spark: SparkSession, sf: str) -> Corpus:
