@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources.pieces import dealt
+
 #: Rows up to which a narrow (at most a few dozen bytes a row) side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -105,7 +107,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(text: Column) -> Column:
