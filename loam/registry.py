@@ -623,9 +623,9 @@ def _(spark, sf):
 def _streamed(spark: SparkSession, sf: str, merge: bool) -> DataFrame:
     from loam.streaming.indexer import index_stream, read_lines
 
-    root, inbox = scratch(spark, "stream"), scratch(spark, "inbox")
-    documents(spark, sf).select("doc_id", "text").repartition(4).write.parquet(inbox)
-    lines_of = lambda: read_lines(spark, inbox, "doc_id", "text", 1)
+    root, inbox, cores = scratch(spark, "stream"), scratch(spark, "inbox"), spark.sparkContext.defaultParallelism
+    spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(4 * cores).write.parquet(inbox)
+    lines_of = lambda: read_lines(spark, inbox, "doc_id", "text", cores)  # noqa: E731  four batches, each with a file for each core
     index_stream(lines_of(), root, scratch(spark, "progress"), merge).awaitTermination()
     index_stream(lines_of(), root, scratch(spark, "progress-lost"), merge).awaitTermination()  # replayed: adds nothing
     return Index.open(spark, root).vocabulary()
