@@ -13,10 +13,10 @@ SPACE_ENTITY = r"&(?:nbsp|ensp|emsp|#0*(?:160|8194|8195|8201));"
 IGNORED = rf"(?:(?!{SPACE_ENTITY})&[^;]{{0,10}};|&(?![^;]{{0,10}};)|[\"׳״]|[\p{{Mn}}&&[\u0080-￿]])"
 #: Possessive, so that words and runs of any length take a loop and no stack.
 TILE = rf"(?:<[^>]*+(?:>|\z)|&[^;]{{0,10}}+;)|({LETTER}++(?:(?:{IGNORED})++{LETTER}++)*+)"
-#: The same where nothing vanishes and no entity is.
-PLAIN = r"<[^>]*+(?:>|\z)|([a-zא-ת]++)"
-#: What a text must hold to need TILE.
-VANISHING = r"[&\"׳״]|[\p{Mn}&&[\u0080-￿]]"
+#: The same where nothing vanishes and no entity is, of lower-case text; only words of SHORTEST to LONGEST letters are captured.
+PLAIN = rf"([a-zא-ת]{{{SHORTEST},{LONGEST}}}+)(?![a-zא-ת])|[a-zא-ת]++|<[^>]*+(?:>|\z)"
+#: What a text must hold, if not & or a quote, to need TILE; also the two letters whose lower case has an ASCII letter.
+VANISHING = r"[\u0080-￿&&[\p{Mn}׳״\u0130\u212A]]"
 #: Elements that end a line of text (fixed values).
 BLOCK_TAGS = (
     "p br hr li ul ol tr td th dd dt h1 h2 h3 h4 h5 h6 div pre nav main table aside header footer figure section article "
@@ -28,15 +28,25 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def tokens(text: Column) -> Column:
-    """The normalised terms of an HTML text in order: tags and white-space entities separate, other entities, quotes and
-    combining marks vanish, only terms of 2 to 29 letters stay. Null has none."""
+def _tiled(body: Column) -> Column:
+    """Whether a text needs TILE; only texts beyond ASCII are searched by a regular expression."""
+    return body.contains("&") | body.contains('"') | ((F.octet_length(body) != F.length(body)) & body.rlike(VANISHING))
+
+
+def _found(text: Column) -> Column:
+    """tokens, with empty strings between."""
     body = F.coalesce(text, F.lit(""))
-    plain = F.regexp_extract_all(ascii_lower(body), F.lit(PLAIN), F.lit(1))
+    plain = F.regexp_extract_all(F.lower(body), F.lit(PLAIN), F.lit(1))
     found = F.filter(F.regexp_extract_all(body, F.lit(TILE), F.lit(1)), lambda t: t != "")
     gone = lambda t: F.when(t.rlike(r"[^a-zA-Zא-ת]"), F.regexp_replace(t, r"&[^;]{0,10};|[^a-zA-Zא-ת]", "")).otherwise(t)
     bare = F.transform(found, lambda t: ascii_lower(gone(t)))
-    return F.filter(F.when(body.rlike(VANISHING), bare).otherwise(plain), lambda t: F.length(t).between(SHORTEST, LONGEST))
+    return F.when(_tiled(body), F.filter(bare, lambda t: F.length(t).between(SHORTEST, LONGEST))).otherwise(plain)
+
+
+def tokens(text: Column) -> Column:
+    """The normalised terms of an HTML text in order: tags and white-space entities separate, other entities, quotes and
+    combining marks vanish, only terms of 2 to 29 letters stay. Null has none."""
+    return F.array_remove(_found(text), "")
 
 
 def tokens_sql(text: str) -> str:
@@ -44,14 +54,15 @@ def tokens_sql(text: str) -> str:
     lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
     bare = lower.format(r"regexp_replace(t, r'&[^;]{0,10};|[^a-zA-Zא-ת]', '')")
     body = f"coalesce({text}, '')"
+    tiled = f"contains({body}, '&') OR contains({body}, '\"') OR (octet_length({body}) <> length({body}) AND {body} RLIKE r'{VANISHING}')"
     return (
-        f"filter(if({body} RLIKE r'{VANISHING}', transform(filter(regexp_extract_all({body}, r'{TILE}', 1), t -> t <> ''), t -> {bare}), "
-        f"regexp_extract_all({lower.format(body)}, r'{PLAIN}', 1)), t -> length(t) BETWEEN {SHORTEST} AND {LONGEST})"
+        f"array_remove(if({tiled}, filter(transform(filter(regexp_extract_all({body}, r'{TILE}', 1), t -> t <> ''), t -> {bare}), "
+        f"t -> length(t) BETWEEN {SHORTEST} AND {LONGEST}), regexp_extract_all(lower({body}), r'{PLAIN}', 1)), '')"
     )
 
 
 def distinct_terms(text: Column) -> Column:
-    return F.array_distinct(tokens(text))
+    return F.array_remove(F.array_distinct(_found(text)), "")
 
 
 def strip_markup(text: Column) -> Column:

@@ -70,6 +70,7 @@ def term_counts(postings: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(doc_id, side) of ids that only one side has."""
-    only = lambda a, b, name: a.join(b, "doc_id", "left_anti").distinct().withColumn("side", F.lit(name))
-    return only(left, right, "left").unionByName(only(right, left, "right"))
+    """(doc_id, side) of ids that only one side has; each side is computed once."""
+    both = left.select("doc_id", F.lit(1).alias("mark")).unionByName(right.select("doc_id", F.lit(2).alias("mark")))
+    held = both.groupBy("doc_id").agg(F.bit_or("mark").alias("m")).where("m < 3")
+    return held.select("doc_id", F.when(F.col("m") == 1, "left").otherwise("right").alias("side"))
