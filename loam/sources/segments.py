@@ -21,6 +21,10 @@ from loam.functions.text import distinct_terms
 FAN_OUT = 4
 #: Postings of a segment's file at most.
 FILE_ROWS = 20_000_000
+#: Postings that one task sorts, some 90 bytes of memory each; beyond it there are more tasks, whatever the session's settings.
+SORT_ROWS = 3_000_000
+#: Postings for which a task of their own is worth while.
+LEAST_ROWS = 50_000
 
 
 class CorruptIndex(RuntimeError):
@@ -157,17 +161,22 @@ class Index:
             raise IndexBusy(f"{self.store.root}: version {version} exists")
         return Index.open(self.spark, self.store.root)
 
-    def _write(self, postings: DataFrame, level: int, batch: int = -1) -> tuple[Segment, ...]:
-        """A new segment of postings, none if there are no rows."""
+    def _write(self, postings: DataFrame, level: int, batch: int = -1, stored: int | None = None) -> tuple[Segment, ...]:
+        """A new segment of postings, none if there are no rows. stored: how many rows at most postings has that come from
+        files; any others are computed once, and counted."""
         name = f"segment-{uuid.uuid4().hex}"
         out, stage = f"{self.store.root}/{name}", f"_{uuid.uuid4().hex}"
-        # written unsorted first: finding the ranges would otherwise tokenise everything once more
-        postings.write.parquet(f"{self.store.root}/{stage}")
-        rows = self.spark.read.parquet(f"{self.store.root}/{stage}")
+        if stored is None:
+            # written unsorted first: finding the ranges would otherwise tokenise everything once more
+            postings.write.option("compression", "zstd").parquet(f"{self.store.root}/{stage}")
+            postings = self.spark.read.parquet(f"{self.store.root}/{stage}")
+        most = postings.count() if stored is None else stored
         # ranges of terms with rows in proportion: a term of a third of all rows is dealt over several files
-        rows = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(out)
-        self.store.delete(stage)
+        tasks = max(1, min(self.spark.sparkContext.defaultParallelism, most // LEAST_ROWS), -(-most // SORT_ROWS))
+        rows = postings.repartitionByRange(tasks, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").parquet(out)
+        if stored is None:
+            self.store.delete(stage)
         rows = self.spark.read.parquet(out)
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         if low is None:
@@ -176,6 +185,11 @@ class Index:
         rows.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{out}-terms")
         return (Segment(name, level, low, high, (), batch),)
 
+    def _rewrite(self, old: tuple[Segment, ...], level: int, batch: int = -1) -> tuple[Segment, ...]:
+        """A new segment of what is live in some segments."""
+        part = Index(self.spark, self.store.root, self.version, old, self.batches)
+        return self._write(part.postings(), level, batch, part.postings(live=False).count())
+
     def add(self, lines: DataFrame, batch: int = -1) -> Index:
         """Indexes lines (id, content) as a new segment. A batch number that was added before is not added again, also when
         its segment was merged or purged since, or when it had no terms."""
@@ -248,17 +262,16 @@ class Index:
         if not dirty:
             return self
         kept = tuple(s for s in self.segments if not s.deletes)
-        return self._publish(kept + tuple(x for s in dirty for x in self._write(self._live(s), s.level, s.batch)))
+        return self._publish(kept + tuple(x for s in dirty for x in self._rewrite((s,), s.level, s.batch)))
 
     def merge(self, fan_out: int = FAN_OUT) -> Index:
         """Merges the segments of a level that has fan_out of them into one of the next level, deletions applied, and so on
         upwards."""
         now = self
         while levels := [n for n in sorted({s.level for s in now.segments}) if sum(s.level == n for s in now.segments) >= fan_out]:
-            old = [s for s in now.segments if s.level == levels[0]]
-            rows = Index(now.spark, now.store.root, now.version, tuple(old), now.batches).postings()
+            old = tuple(s for s in now.segments if s.level == levels[0])
             kept = tuple(s for s in now.segments if s.level != levels[0])
-            now = now._publish(kept + now._write(rows, levels[0] + 1))
+            now = now._publish(kept + now._rewrite(old, levels[0] + 1))
         return now
 
     def ranges(self) -> DataFrame:
