@@ -71,8 +71,8 @@ class Engine:
         p = self.plan(query, variants)
         return marked.with_snippets(self._rows(p, cap), p, "content", ordered, context, mark)
 
-    def line_snippets(self, ids: DataFrame, query: str, context: int = marked.CONTEXT, mark: tuple[str, str] = marked.MARK) -> DataFrame:
-        """Snippets of given lines (id) for a query's literal words: every alternative must occur, wildcards are letters."""
+    def line_snippets(self, ids: DataFrame | None, query: str, context: int = marked.CONTEXT, mark: tuple[str, str] = marked.MARK) -> DataFrame:
+        """Snippets of given lines (id), None for all, for a query's literal words: every alternative must occur, wildcards are letters."""
         terms = list(dict.fromkeys(literal_terms(query)))
         p = Plan([[t] for t in terms], len(terms), not terms)
         return marked.with_snippets(self.corpus.fetch(ids), p, "content", False, context, mark)

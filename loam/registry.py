@@ -498,8 +498,7 @@ def _(spark, sf):
 
 @query("snippet_fallback")
 def _(spark, sf):
-    e = engine(spark, sf)
-    return e.line_snippets(e.corpus.line.select("id"), "the | of").select("id", "html", "score", "word_distance", "is_match")
+    return engine(spark, sf).line_snippets(None, "the | of").select("id", "html", "score", "word_distance", "is_match")
 
 
 SNIPPETS = [

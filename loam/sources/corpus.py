@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,11 +23,13 @@ CHUNK = 1_000_000
 
 @dataclass
 class Corpus:
-    """placed: lines with line_index and he_ref, where finding these costs more than reading them."""
+    """placed: lines with line_index and he_ref, where finding these costs more than reading them. named: lines (id, title,
+    content), where the title lies beside the content."""
 
     line: DataFrame
     book: DataFrame
     placed: DataFrame | None = None
+    named: DataFrame | None = None
 
     @staticmethod
     def read(spark: SparkSession, line_path: str, book_path: str) -> Corpus:
@@ -58,6 +61,7 @@ class Corpus:
             of_book(numbered).select(
                 F.col("doc_id").alias("id"), "book_id", F.col("place").alias("line_index"), F.concat("source", F.lit(":"), "place").alias("he_ref"), text
             ),
+            docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), text),
         )
 
     def scan(self, limit: int | None = None, after: int | None = None) -> DataFrame:
@@ -85,18 +89,24 @@ class Corpus:
         titles = self.book.select("book_id", "title")
         return rows.join(titles, "book_id", how).withColumn("title", F.coalesce("title", F.lit("")))
 
-    def fetch(self, ids: DataFrame) -> DataFrame:
-        """(id, title, content) of the lines whose id is in ids (id); ids without a line are dropped. Ids that are counted
-        to be few go to where the contents lie; beyond that contents are shuffled by id."""
-        rows = self.line.select("id", "book_id", F.coalesce("content", F.lit("")).alias("content"))
+    def _shown(self, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(id, title, content) of the lines that are wanted, nulls as empty strings."""
+        rows = wanted(self.named) if self.named is not None else self._titled(wanted(self.line))
+        return rows.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
+
+    def fetch(self, ids: DataFrame | None = None) -> DataFrame:
+        """(id, title, content) of the lines whose id is in ids (id), of every line that has an id if there are none; ids
+        without a line are dropped. Ids that are counted to be few go to where the contents lie; beyond that contents are
+        shuffled by id."""
+        if ids is None:
+            return self._shown(lambda rows: rows.where("id IS NOT NULL"))
         asked = ids.select("id").distinct()
         asked = F.broadcast(asked) if asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else asked
-        return self._titled(rows.join(asked, "id", "left_semi")).select("id", "title", "content")
+        return self._shown(lambda rows: rows.join(asked, "id", "left_semi"))
 
     def fetch_listed(self, ids: list[int]) -> DataFrame:
         """fetch of a few ids that are known: the filter reaches the scan."""
-        rows = self.line.where(F.col("id").isin(ids) if ids else F.lit(False))
-        return self._titled(rows.select("id", "book_id", F.coalesce("content", F.lit("")).alias("content"))).select("id", "title", "content")
+        return self._shown(lambda rows: rows.where(F.col("id").isin(ids) if ids else F.lit(False)))
 
     def fetch_titles(self, ids: DataFrame) -> DataFrame:
         """(id, title) by book and line; lines without a book are dropped, contents are not read."""
