@@ -25,6 +25,8 @@ FILE_ROWS = 20_000_000
 SORT_ROWS = 3_000_000
 #: Postings for which a task of their own is worth while.
 LEAST_ROWS = 50_000
+#: Deletions of a segment up to which they are broadcast: some tens of MB.
+BROADCAST_IDS = 1_000_000
 
 
 class CorruptIndex(RuntimeError):
@@ -215,7 +217,13 @@ class Index:
         rows = self.spark.read.parquet(f"{self.store.root}/{s.name}")
         if not s.deletes:
             return rows
-        gone = self.spark.read.parquet(*[f"{self.store.root}/{d}" for d in s.deletes]).select("doc_id").distinct()
+        listed = self.spark.read.parquet(*[f"{self.store.root}/{d}" for d in s.deletes]).select("doc_id")
+        gone = listed.distinct()
+        if listed.count() <= BROADCAST_IDS:  # what a session broadcasts by itself may be less
+            gone = F.broadcast(gone)
+        else:  # a join sorts both sides: what a task sorts is bounded here too
+            tasks = max(1, -(-rows.count() // SORT_ROWS))
+            rows, gone = rows.repartition(tasks, "doc_id"), gone.repartition(tasks, "doc_id")
         return rows.join(gone, "doc_id", "left_anti").select("term", "doc_id")
 
     def postings(self, live: bool = True) -> DataFrame:

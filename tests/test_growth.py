@@ -64,6 +64,32 @@ def test_a_merge_writes_postings_once(spark, folder, monkeypatch):
     assert not [n for n in gone if n.startswith("_")]  # nothing was staged
 
 
+def _with_deletions(spark, folder):
+    now = Index(spark, scratch(spark, "gone")).add(registry.lines(spark, folder))
+    want = [tuple(r) for r in now.postings().where("doc_id IS NULL OR doc_id % 7 <> 0 OR doc_id < 0").collect()]
+    return now.delete(spark.range(0, 600, 7))[0], sorted(want, key=str)
+
+
+def test_few_deletions_need_no_sort_whatever_the_settings(spark, folder):
+    now, want = _with_deletions(spark, folder)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in now.postings()._jdf.queryExecution().executedPlan().toString()
+        assert sorted((tuple(r) for r in now.postings().collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_deletions_sort_a_bounded_number_of_rows_in_a_task(spark, folder, monkeypatch):
+    now, want = _with_deletions(spark, folder)
+    monkeypatch.setattr(segments, "BROADCAST_IDS", 10, raising=False)
+    monkeypatch.setattr(segments, "SORT_ROWS", 1_000)
+    sizes = [r["count"] for r in now.postings().groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 3_000
+    assert sorted((tuple(r) for r in now.postings().collect()), key=str) == want
+
+
 def test_every_line_is_fetched_without_a_join(spark, folder):
     df = registry.queries()["snippet_fallback"](spark, folder)
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
