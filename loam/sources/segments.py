@@ -163,22 +163,14 @@ class Index:
             raise IndexBusy(f"{self.store.root}: version {version} exists")
         return Index.open(self.spark, self.store.root)
 
-    def _write(self, postings: DataFrame, level: int, batch: int = -1, stored: int | None = None) -> tuple[Segment, ...]:
-        """A new segment of postings, none if there are no rows. stored: how many rows at most postings has that come from
-        files; any others are computed once, and counted."""
+    def _write(self, postings: DataFrame, most: int, level: int, batch: int = -1) -> tuple[Segment, ...]:
+        """A new segment of postings that come from files, none if there are no rows. most: how many rows they have at most."""
         name = f"segment-{uuid.uuid4().hex}"
-        out, stage = f"{self.store.root}/{name}", f"_{uuid.uuid4().hex}"
-        if stored is None:
-            # written unsorted first: finding the ranges would otherwise tokenise everything once more
-            postings.write.option("compression", "zstd").parquet(f"{self.store.root}/{stage}")
-            postings = self.spark.read.parquet(f"{self.store.root}/{stage}")
-        most = postings.count() if stored is None else stored
+        out = f"{self.store.root}/{name}"
         # ranges of terms with rows in proportion: a term of a third of all rows is dealt over several files
         tasks = max(1, min(self.spark.sparkContext.defaultParallelism, most // LEAST_ROWS), -(-most // SORT_ROWS))
         rows = postings.repartitionByRange(tasks, "term", "doc_id").sortWithinPartitions("term", "doc_id")
         rows.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").parquet(out)
-        if stored is None:
-            self.store.delete(stage)
         rows = self.spark.read.parquet(out)
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         if low is None:
@@ -190,14 +182,27 @@ class Index:
     def _rewrite(self, old: tuple[Segment, ...], level: int, batch: int = -1) -> tuple[Segment, ...]:
         """A new segment of what is live in some segments."""
         part = Index(self.spark, self.store.root, self.version, old, self.batches)
-        return self._write(part.postings(), level, batch, part.postings(live=False).count())
+        return self._write(part.postings(), part.postings(live=False).count(), level, batch)
+
+    def _index(self, lines: DataFrame, batch: int) -> tuple[Segment, ...]:
+        """A new segment of lines. Their terms are written first, a text for each line: finding the ranges would otherwise
+        tokenise everything once more."""
+        stage = f"_{uuid.uuid4().hex}"
+        found = lines.select(F.col("id").alias("doc_id"), distinct_terms(F.col("content")).alias("terms"))
+        kept = found.select("doc_id", F.array_join("terms", " ").alias("terms"), F.size("terms").alias("n"))
+        kept.write.option("compression", "zstd").parquet(f"{self.store.root}/{stage}")
+        kept = self.spark.read.parquet(f"{self.store.root}/{stage}")
+        postings = kept.where("n > 0").select(F.explode(F.split("terms", " ")).alias("term"), "doc_id")
+        out = self._write(postings, kept.agg(F.sum("n")).first()[0] or 0, 0, batch)
+        self.store.delete(stage)
+        return out
 
     def add(self, lines: DataFrame, batch: int = -1) -> Index:
         """Indexes lines (id, content) as a new segment. A batch number that was added before is not added again, also when
         its segment was merged or purged since, or when it had no terms."""
         if batch >= 0 and any(a <= batch <= b for a, b in self.batches):
             return self
-        return self._publish(self.segments + self._write(postings_of(lines), 0, batch), with_batch(self.batches, batch) if batch >= 0 else None)
+        return self._publish(self.segments + self._index(lines, batch), with_batch(self.batches, batch) if batch >= 0 else None)
 
     def progress(self) -> dict:
         """What a build needs to go on: the last id, the batches that are in, the version, segments and documents' range."""

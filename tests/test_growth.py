@@ -64,6 +64,22 @@ def test_a_merge_writes_postings_once(spark, folder, monkeypatch):
     assert not [n for n in gone if n.startswith("_")]  # nothing was staged
 
 
+def test_a_batch_is_staged_as_a_row_for_each_line(spark, folder, monkeypatch):
+    rows, now, staged, delete = registry.lines(spark, folder), Index(spark, scratch(spark, "staged")), [], Store.delete
+
+    def seen(self, name):
+        if name.startswith("_"):
+            staged.append(spark.read.parquet(f"{self.root}/{name}").count())
+        delete(self, name)
+
+    monkeypatch.setattr(Store, "delete", seen)
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    odd = [(7001, None), (7002, ""), (7003, "a . <b>"), (None, "x&amp;y zz"), (-7, 'שלו"ם zz ZZ zz')]
+    rows = rows.union(spark.createDataFrame(odd, "id long, content string"))
+    assert key(now.add(rows).postings()) == key(segments.postings_of(rows))
+    assert staged == [rows.count()]
+
+
 def _with_deletions(spark, folder):
     now = Index(spark, scratch(spark, "gone")).add(registry.lines(spark, folder))
     want = [tuple(r) for r in now.postings().where("doc_id IS NULL OR doc_id % 7 <> 0 OR doc_id < 0").collect()]
